@@ -166,10 +166,10 @@ def shingle_hashes(word_hashes: np.ndarray, first: np.ndarray, width: int) -> tu
         full = counts[owner] >= width
         out[full] = rolled[at[full]]
     for i in short:
-        x = np.uint64(counts[i])
-        for j, h in enumerate(word_hashes[first[i] : first[i + 1]]):
-            x = x + h * np.uint64(pow(_SHINGLE_MUL, j + 1, 2**64))
-        out[out_first[i]] = x
+        x = int(counts[i])
+        for j, h in enumerate(word_hashes[first[i] : first[i + 1]].tolist()):
+            x += h * pow(_SHINGLE_MUL, j + 1, 2**64)
+        out[out_first[i]] = x % 2**64
     return mix(out), out_first
 
 
