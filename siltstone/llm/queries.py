@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import minhash, packing, records, sharding
+from siltstone.llm import ctw, minhash, packing, records, sharding
 from siltstone.llm.tokens import vocabulary_path
 
 
@@ -33,10 +33,20 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, manifest, with_ids=False)
 
 
+def _remainder(n: int):
+    """crc32 of doc_id as text, modulo n."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(_documents(spark, sf_dir), _remainder(5) == 1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_minhash": op4_minhash,
     "op7_sharding": op7_sharding,
     "op8_token_records": op8_token_records,
+    "op9_context_tree": op9_context_tree,
 }
 ORACLES: dict[str, str] = {}

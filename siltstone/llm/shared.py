@@ -59,13 +59,9 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def partitions_for(df: DataFrame, target_bytes: int) -> int:
-    """Partitions of about ``target_bytes`` of stored input each, by Spark's own size estimate.
-
-    At least the session's shuffle partitions where there is that much input, at least one.
-    """
+    """How many partitions of about ``target_bytes`` of stored input each there are, by Spark's own size estimate."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(least, size // 65536 + 1), min(-(-size // target_bytes), 1_000_000))
+    return max(1, min(-(-size // target_bytes), 1_000_000))
 
 
 def narrow_batches(spark: SparkSession, rows: int = 2048) -> None:
