@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import ctw, minhash, packing, records, sharding
+from siltstone.llm import ann, ctw, minhash, packing, records, sharding
 from siltstone.llm.tokens import vocabulary_path
 
 
@@ -23,6 +23,11 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), 85, 100)
 
 
+def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(vectors, F.col("vec_id") % 100 == 0, k=10)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign(_documents(spark, sf_dir), 24)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -45,6 +50,7 @@ def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_minhash": op4_minhash,
+    "op6_cross_polytope": op6_cross_polytope,
     "op7_sharding": op7_sharding,
     "op8_token_records": op8_token_records,
     "op9_context_tree": op9_context_tree,
