@@ -20,7 +20,6 @@ _SHINGLE_MUL = 0xD6E8FEB86659FD93
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: Spaces of UTF-8 beyond ASCII, by their last three bytes (two-byte ones have 0 first).
 _IS_TEXT = ~_IS_SPACE
 
 
@@ -145,6 +144,20 @@ def words(slab: Slab) -> Words:
     return Words(starts, ends, np.searchsorted(starts, bounds))
 
 
+def _rolled(word_hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words, not yet mixed."""
+    n = max(0, len(word_hashes) - width + 1)
+    out = np.zeros(n, np.uint64)
+    for j in range(width if n else 0):
+        out += word_hashes[j : j + n] * np.uint64(pow(_SHINGLE_MUL, j + 1, 2**64))
+    return out
+
+
+def short_text_hashes(word_hashes: np.ndarray, n: int) -> np.ndarray:
+    """For every run of n words, the shingle that a text of just these words has where shingles are longer."""
+    return mix(_rolled(word_hashes, n) + np.uint64(n))
+
+
 def shingle_hashes(word_hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the ``width``-word shingles of each text, and where each text's begin.
 
@@ -154,10 +167,7 @@ def shingle_hashes(word_hashes: np.ndarray, first: np.ndarray, width: int) -> tu
     short = np.flatnonzero((counts > 0) & (counts < width))
     n = np.where(counts >= width, counts - width + 1, (counts > 0).astype(np.int64))
     out_first = np.concatenate(([0], np.cumsum(n)))
-    window = max(0, len(word_hashes) - width + 1)
-    rolled = np.zeros(window, np.uint64)
-    for j in range(width if window else 0):
-        rolled += word_hashes[j : j + window] * np.uint64(pow(_SHINGLE_MUL, j + 1, 2**64))
+    rolled = _rolled(word_hashes, width)
     total = int(out_first[-1])
     out = np.empty(total, np.uint64)
     if total:
@@ -166,10 +176,8 @@ def shingle_hashes(word_hashes: np.ndarray, first: np.ndarray, width: int) -> tu
         full = counts[owner] >= width
         out[full] = rolled[at[full]]
     for i in short:
-        x = int(counts[i])
-        for j, h in enumerate(word_hashes[first[i] : first[i + 1]].tolist()):
-            x += h * pow(_SHINGLE_MUL, j + 1, 2**64)
-        out[out_first[i]] = x % 2**64
+        own = word_hashes[first[i] : first[i + 1]]
+        out[out_first[i]] = (_rolled(own, len(own)) + np.uint64(len(own)))[0]
     return mix(out), out_first
 
 
