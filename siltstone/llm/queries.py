@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import ann, ctw, decontamination, minhash, packing, records, sharding
+from siltstone.llm import ann, chat, ctw, decontamination, minhash, packing, quality, records, sharding, toxicity
 from siltstone.llm.tokens import vocabulary_path
 
 
@@ -15,6 +15,15 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def _remainder(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -27,6 +36,16 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_documents(spark, sf_dir), 85, 100)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    lexicon = toxicity.learn(docs, labels, train=_remainder(4) != 2)
+    return _predicted(toxicity.scores(docs, lexicon), _remainder(4) == 2)
+
+
+def _predicted(scored: DataFrame, held_out: Column) -> DataFrame:
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return ann.search(vectors, F.col("vec_id") % 100 == 0, k=10)
@@ -42,22 +61,26 @@ def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.read_records(spark, manifest, with_ids=False)
 
 
-def _remainder(n: int):
-    """crc32 of doc_id as text, modulo n."""
-    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
-
-
 def op9_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(_documents(spark, sf_dir), _remainder(5) == 1)
 
 
+def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ensemble = quality.learn(docs, labels, train=_remainder(5) != 0)
+    return _predicted(quality.scores(docs, ensemble), _remainder(5) == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat": op1_chat,
     "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
     "op4_minhash": op4_minhash,
+    "op5_toxicity": op5_toxicity,
     "op6_cross_polytope": op6_cross_polytope,
     "op7_sharding": op7_sharding,
     "op8_token_records": op8_token_records,
     "op9_context_tree": op9_context_tree,
+    "op10_rules": op10_rules,
 }
 ORACLES: dict[str, str] = {}
