@@ -21,24 +21,23 @@ def digest(blob: str, refs_hex: str = "''") -> str:
     return f"sha256(encode('{HASH}') || unhex('00') || {leb('32')} || {leb(f'octet_length({blob})::BIGINT')} || {leb(count)} || unhex('00') || unhex(sha256({blob})) || unhex({refs_hex}))"
 
 
-def bytes_of(source: str) -> str:
-    """CTEs b (id, pos from 1, v) over a CTE ``source`` (id, blob)."""
-    digit = lambda at: f"(instr('123456789ABCDEF', substr(h, {at}, 1)))"
-    return f"""hexed AS (SELECT id, hex(blob) AS h, octet_length(blob)::BIGINT AS n FROM {source}),
-places AS (SELECT id, h, unnest(range(1, n + 1)) AS pos FROM hexed),
-b AS (SELECT id, pos, ({digit('2 * pos - 1')} * 16 + {digit('2 * pos')})::BIGINT AS v FROM places)"""
+def bytes_of(source: str, p: str = "") -> str:
+    """CTEs up to {p}b (id, pos from 1, v) over a CTE ``source`` (id, blob)."""
+    return f"""{p}hexed AS (SELECT id, regexp_extract_all(hex(blob), '..') AS l FROM {source}),
+{p}places AS (SELECT id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS pos FROM {p}hexed),
+{p}b AS (SELECT id, pos, (instr('123456789ABCDEF', x[1]) * 16 + instr('123456789ABCDEF', x[2]))::BIGINT AS v FROM {p}places)"""
 
 
-def cuts_of(source: str, window: int, log2: int, marker: int, before: bool = False) -> str:
-    """CTEs up to ranges (id, ordinal, s, e) of the chunks of ``source``, a last empty one left out beside others."""
+def cuts_of(source: str, window: int, log2: int, marker: int, before: bool = False, p: str = "") -> str:
+    """CTEs up to {p}ranges (id, ordinal, s, e) of the chunks of ``source``, a last empty one left out beside others."""
     at = "pos - 1" if before else "pos"
-    return f"""{bytes_of(source)},
-sums AS (SELECT id, pos, sum(v) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW) AS t FROM b),
-ends AS (SELECT id, list({at} ORDER BY pos) AS l FROM sums WHERE pos >= {window} AND t % {1 << log2} = {marker} GROUP BY id),
-cuts AS (SELECT id, list_reduce(list_transform(l, lambda e: [e]), lambda a, x: CASE WHEN x[1] - a[-1] >= {window} THEN list_concat(a, x) ELSE a END, [0::BIGINT]) AS c FROM ends),
-lists AS (SELECT s.id, octet_length(s.blob)::BIGINT AS n, coalesce(c.c, [0::BIGINT]) AS c FROM {source} s LEFT JOIN cuts c USING (id)),
-pieces AS (SELECT id, n, unnest(range(0, len(c))) AS ordinal, unnest(c) AS s, unnest(list_concat(c[2:], [n])) AS e FROM lists),
-ranges AS (SELECT id, ordinal::INTEGER AS ordinal, s, e FROM pieces WHERE e > s OR ordinal = 0)"""
+    return f"""{bytes_of(source, p)},
+{p}sums AS (SELECT id, pos, sum(v) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW) AS t FROM {p}b),
+{p}ends AS (SELECT id, list({at} ORDER BY pos) AS l FROM {p}sums WHERE pos >= {window} AND t % {1 << log2} = {marker} GROUP BY id),
+{p}cuts AS (SELECT id, list_reduce(list_transform(l, lambda e: [e]), lambda a, x: CASE WHEN x[1] - a[-1] >= {window} THEN list_concat(a, x) ELSE a END, [0::BIGINT]) AS c FROM {p}ends),
+{p}lists AS (SELECT s.id, octet_length(s.blob)::BIGINT AS n, coalesce(c.c, [0::BIGINT]) AS c FROM {source} s LEFT JOIN {p}cuts c USING (id)),
+{p}pieces AS (SELECT id, n, unnest(range(0, len(c))) AS ordinal, unnest(c) AS s, unnest(list_concat(c[2:], [n])) AS e FROM {p}lists),
+{p}ranges AS (SELECT id, ordinal::INTEGER AS ordinal, s, e FROM {p}pieces WHERE e > s OR ordinal = 0)"""
 
 
 #: The two snapshots of documents that diffs and batches compare.

@@ -339,9 +339,7 @@ def status_no_head(spark: SparkSession, sf: str) -> DataFrame:
     return diff.initial_changes(_flat(_blobs(spark, sf))[0]).select("change", _path())
 
 
-RANGES_B = O.cuts_of("bsrc", 256, 6, 1)
-for _n in ("hexed", "places", "sums", "ends", "cuts", "lists", "pieces", "ranges", "b"):
-    RANGES_B = RANGES_B.replace(f"{_n} AS (", f"z{_n} AS (").replace(f"FROM {_n}", f"FROM z{_n}").replace(f"JOIN {_n} ", f"JOIN z{_n} ")
+RANGES_B = O.cuts_of("bsrc", 256, 6, 1, p="z")
 
 
 @query(f"WITH {PIECES}, bsrc AS (SELECT id, blob FROM ({O.SNAPSHOT_B})), {RANGES_B}, zhashed AS (SELECT id, s, e, {O.digest('bsrc.blob[s + 1:e]')} AS digest FROM zranges JOIN bsrc USING (id)) SELECT id AS doc_id, s AS start, e AS end, digest FROM zhashed EXCEPT SELECT id, s, e, digest FROM hashed")
