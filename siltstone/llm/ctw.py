@@ -286,7 +286,7 @@ def bucket_of(kind: int, keys: np.ndarray, depth: int, buckets: int) -> np.ndarr
     return (mix(keys >> np.uint64(8 * (depth - 1))) if kind == CODE else keys >> np.uint64(32)) % np.uint64(buckets)
 
 
-def chunk_keys(table: pa.Table, depth: int, buckets: int = BUCKETS) -> pa.Table:
+def chunk_keys(table: pa.Table, depth: int, buckets: int) -> pa.Table:
     """The distinct codes and words of a chunk with their counts in its training texts, a row for each bucket."""
     chunk = table["chunk"][0].as_py()
     train = table["train"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
@@ -360,9 +360,9 @@ def score(docs: DataFrame, held_out: Column, depth: int = 5, chunk_bytes: int =
     if not 2 <= depth <= 7:
         raise ValueError("depth must be 2 to 7")
     chunks = partitions_for(docs, chunk_bytes)
-    parts = -(-chunks // CHUNKS_A_TASK)
+    parts, buckets = -(-chunks // CHUNKS_A_TASK), BUCKETS
     dealt = docs.select("doc_id", "text", (~F.coalesce(held_out, F.lit(False))).alias("train"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"))
-    found = dealt.groupBy("chunk").applyInArrow(lambda t: chunk_keys(t, depth), "chunk long, kind int, bucket int, keys binary, n binary")
+    found = dealt.groupBy("chunk").applyInArrow(lambda t: chunk_keys(t, depth, buckets), "chunk long, kind int, bucket int, keys binary, n binary")
     found = write_table(found.withColumn("part", F.pmod("chunk", F.lit(parts)).cast("int")), "keys")
     merged = "kind int, bucket int, part int, learnt long, keys binary, n binary"
     counts = found.select("kind", "bucket", "part", "keys", "n").groupBy("kind", "bucket", "part").applyInArrow(merge_rows, merged)

@@ -1,47 +1,15 @@
-"""Tables and files in the folder that all executors share.
-
-The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset
-and the master is local, a temporary folder stands in for it.
-"""
+"""What the operators share: tables in the folder all executors see, file systems, partition counts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder's URI; also makes it the checkpoint folder if the session has none yet."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = _LOCAL.setdefault(sc.applicationId, "")
-        if not base:
-            base = _LOCAL[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
+from siltstone.sources.tables import new_path, shared_dir, write_scratch
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/siltstone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+__all__ = ["file_system", "narrow_batches", "new_path", "partitions_for", "release", "shared_dir", "write_table"]
 
-
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame as Parquet into the shared folder and return it as read from there.
-
-    This cuts the lineage: what follows depends on files in shared storage, not on executors.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+write_table = write_scratch
 
 
 def release(spark: SparkSession) -> None:
@@ -59,9 +27,15 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def partitions_for(df: DataFrame, target_bytes: int) -> int:
-    """How many partitions of about ``target_bytes`` of stored input each there are, by Spark's own size estimate."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, min(-(-size // target_bytes), 1_000_000))
+    """How many partitions of about ``target_bytes`` of stored input each there are.
+
+    By Spark's estimates of the sources' sizes; where one has none, as many as the input has partitions.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size >= 1 << 60:
+        return df.rdd.getNumPartitions()
+    return max(1, -(-size // target_bytes))
 
 
 def narrow_batches(spark: SparkSession, rows: int = 2048) -> None:
