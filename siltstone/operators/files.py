@@ -53,3 +53,8 @@ def reassembled(entries: DataFrame, objects: DataFrame, key: str) -> DataFrame:
     blobs = entries.join(objects.select(F.col("digest").alias("_digest"), "blob"), F.col("child.digest") == F.col("_digest")).select(key, "start", "blob")
     parts = F.array_sort(F.collect_list(F.struct("start", "blob")))
     return blobs.groupBy(key).agg(parts.alias("parts")).select(key, F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["blob"])).alias("data"))
+
+
+def summary(objects: DataFrame) -> DataFrame:
+    """children, objects, blob_bytes: how many objects have how many references, and their content."""
+    return objects.groupBy(F.size("refs").alias("children")).agg(F.count("*").alias("objects"), F.sum(F.octet_length("blob")).alias("blob_bytes"))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions import binary, digest, state, text
+from siltstone.functions import binary, digest, render, state, text
 from siltstone.operators import batch, chunk, dag, diff, encode, files, index, references, tree
 from siltstone.plans import oracle as O
 from siltstone.sources.tables import write_scratch
@@ -574,3 +574,33 @@ def resolve_branches(spark: SparkSession, sf: str) -> DataFrame:
 def branch_cas_difference(spark: SparkSession, sf: str) -> DataFrame:
     local, _ = _branches(spark, sf)
     return references.symmetric_difference(local, branch_merge_right(spark, sf))
+
+
+# --- texts for people
+
+
+@query("""SELECT c_custkey, 'commit ' || c_custkey || chr(10) || CASE WHEN c_nationkey > 12 THEN 'author ' || c_name || ' <' || c_mktsegment || '>' || chr(10) WHEN c_nationkey > 6 THEN 'author ' || c_name || chr(10) WHEN c_nationkey > 3 THEN 'author <' || c_mktsegment || '>' || chr(10) ELSE '' END
+  || 'date ' || strftime(make_timestamp(c_custkey * 86400000000) - INTERVAL 12600 SECOND, '%Y-%m-%d %H:%M:%S') || ' -03:30' || chr(10) || CASE WHEN c_acctbal > 0 THEN chr(9) || c_mktsegment || chr(10) ELSE '' END AS shown FROM customer""")
+def render_commits(spark: SparkSession, sf: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    n = F.col("c_nationkey")
+    shown = render.commit_text(F.col("c_custkey").cast("string"), F.when((n > 6), F.col("c_name")), F.when((n > 12) | ((n > 3) & (n <= 6)), F.col("c_mktsegment")), F.col("c_custkey") * 86400, F.lit(-12600), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")))
+    return c.select("c_custkey", shown.alias("shown"))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey < 3 AND n_nationkey < 12 THEN 'On branch ' || n_name || ' with virtual workspace 0a0b' WHEN n_regionkey < 3 THEN 'On branch ' || n_name || ' without any virtual workspace' WHEN n_nationkey < 12 THEN 'No prior commit with virtual workspace 0a0b' ELSE 'No prior commit or virtual workspace' END AS header FROM nation")
+def render_status(spark: SparkSession, sf: str) -> DataFrame:
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    head = F.when(F.col("n_regionkey") < 3, F.concat(F.lit("branch "), "n_name"))
+    return n.select("n_nationkey", render.status_header(head, F.when(F.col("n_nationkey") < 12, F.lit("0a0b"))).alias("header"))
+
+
+@query(f"WITH {TREES} SELECT upper(change[1]) || change[2:] || '(' || path || ')' AS shown FROM ({CHANGES})")
+def render_changes(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = _flat(_blobs(spark, sf))[0], _flat(_snapshot_b(spark, sf))[0]
+    return diff.changes(a, b).select(render.change_text(F.col("change"), F.col("path")).alias("shown"))
+
+
+@query(f"WITH {TREE_A}, o AS (SELECT DISTINCT 0 AS children, digest, size FROM leaf UNION ALL SELECT DISTINCT (length(refs) // 64)::INTEGER, d.digest, octet_length(encode(t))::BIGINT FROM a_text JOIN a_refs USING (lang, source) JOIN dirs d ON d.lang = a_text.lang AND d.name = source UNION ALL SELECT DISTINCT (length(refs) // 64)::INTEGER, g.digest, octet_length(encode(t))::BIGINT FROM b_text JOIN b_refs USING (lang) JOIN langs g ON g.name = lang UNION ALL SELECT (length(refs) // 64)::INTEGER, '', octet_length(encode(t))::BIGINT FROM c_text JOIN c_refs USING (top)) SELECT children, count(*) AS objects, sum(size)::BIGINT AS blob_bytes FROM o GROUP BY children")
+def object_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return files.summary(_stored(spark, sf, False))
