@@ -20,11 +20,14 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from siltstone.llm.words import _IS_SPACE, SLAB_BYTES, Slab, slabs, span_hashes
+from siltstone.llm.words import _IS_SPACE, Slab, slabs, span_hashes
 
 #: Parts remembered by a worker; beyond that it keeps those seen more than once, or none. Bounds memory, never the result.
 MEMO_PARTS = 800_000
 
+#: Bytes of texts worked on at once, and parts given to the library at once, which keeps much beside the ids of each.
+TEXT_AT_ONCE, ENCODE_AT_ONCE = 1 << 20, 4096
+
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MARK = np.zeros(256, bool)
@@ -93,7 +96,7 @@ class Encoder:
         self.keys, self.start, self.length, self.again = keys[kept], at[:-1], n, np.zeros(len(n), bool)
 
     def _learn(self, new: np.ndarray, parts: list[str]) -> None:
-        rows = [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        rows = [e.ids for at in range(0, len(parts), ENCODE_AT_ONCE) for e in self.tokenizer.encode_batch_fast(parts[at : at + ENCODE_AT_ONCE], add_special_tokens=False)]
         n = np.fromiter(map(len, rows), np.int64, len(rows))
         end = self.used + int(n.sum())
         if end > len(self.flat):
@@ -137,7 +140,7 @@ class Encoder:
         return Encoded(ids, out[np.searchsorted(starts, slab.bounds)])
 
     def encode(self, column: pa.Array) -> Iterator[tuple[Slab, Encoded]]:
-        for slab in slabs(column, SLAB_BYTES):
+        for slab in slabs(column, TEXT_AT_ONCE):
             yield slab, self.encode_slab(slab)
 
 
