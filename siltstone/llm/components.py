@@ -12,8 +12,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); a component is named by its least node.
 
     Alternates large-star and small-star steps until the edges no longer
-    change; each step groups by node, so a hub is met by partial aggregation
-    and by Spark's splitting of skewed join partitions.  Each round is written
+    change.  Least neighbours are found by partial aggregation.  Edges get them
+    by a join whose two sides are shuffled for it alone (the key is wrapped, so
+    the aggregation's shuffle does not serve), since only then can Spark split
+    the partition of a hub.  Each round is written
     to the shared folder, which cuts the lineage.  Repeated edges and loops do
     no harm; an edge with a null end is left out.
     """
@@ -23,12 +25,18 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = _joined(both.where("b > a"), least).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
+        small = _joined(large, least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
         now = write_table(small, "edges")
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if tuple(seen) == state:
             break
         state = tuple(seen)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+def _joined(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges (a, b) with m of their a."""
+    key = F.struct("a")
+    return edges.withColumn("k", key).join(least.select(key.alias("k"), "m"), "k").select("a", "b", "m")
