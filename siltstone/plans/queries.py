@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from siltstone.functions import binary, digest, render, state, text
 from siltstone.operators import batch, chunk, dag, diff, encode, files, index, references, tree
 from siltstone.plans import oracle as O
-from siltstone.sources.tables import write_scratch
+from siltstone.sources.tables import new_path, write_scratch
+from siltstone.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -604,3 +605,18 @@ def render_changes(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {TREE_A}, o AS (SELECT DISTINCT 0 AS children, digest, size FROM leaf UNION ALL SELECT DISTINCT (length(refs) // 64)::INTEGER, d.digest, octet_length(encode(t))::BIGINT FROM a_text JOIN a_refs USING (lang, source) JOIN dirs d ON d.lang = a_text.lang AND d.name = source UNION ALL SELECT DISTINCT (length(refs) // 64)::INTEGER, g.digest, octet_length(encode(t))::BIGINT FROM b_text JOIN b_refs USING (lang) JOIN langs g ON g.name = lang UNION ALL SELECT (length(refs) // 64)::INTEGER, '', octet_length(encode(t))::BIGINT FROM c_text JOIN c_refs USING (top)) SELECT children, count(*) AS objects, sum(size)::BIGINT AS blob_bytes FROM o GROUP BY children")
 def object_summary(spark: SparkSession, sf: str) -> DataFrame:
     return files.summary(_stored(spark, sf, False))
+
+
+# --- streams: the properties of a type's events, one after another, are a stream of bytes
+
+
+@query("WITH src AS (SELECT event_type AS id, encode(string_agg(props, '' ORDER BY event_id)) AS blob FROM events GROUP BY event_type), " + O.cuts_of("src", 256, 6, 1) + ", closed AS (SELECT id, unnest(c[:-2]) AS s, unnest(c[2:]) AS e FROM cuts) SELECT id AS stream, s AS start, e AS end, sha256(src.blob[s + 1:e]) AS sha FROM closed JOIN src USING (id)")
+def stream_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks that are closed so far when the table is read as a stream."""
+    # A plain path must be a folder for a stream; a pattern may match a file or a folder.
+    events = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/event[s].parquet")
+    arrivals = events.select(F.col("event_type").alias("stream"), F.col("event_id").alias("seq"), F.col("props").cast("binary").alias("data"), F.lit(False).alias("last"))
+    out = new_path(spark, "streamed")
+    chunks = ingest.chunk_stream(arrivals, SMALL)
+    chunks.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(ingest.CHUNK).parquet(out).select("stream", "start", "end", F.sha2("blob", 256).alias("sha"))
