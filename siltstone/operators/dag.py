@@ -20,7 +20,7 @@ def reachable(links: DataFrame, roots: DataFrame, hops: int = 4) -> DataFrame:
     Breadth first; each node is expanded once.  A round takes ``hops`` steps
     before it is written out, so long chains need fewer rounds.
     """
-    links = links.select(F.col("parent").alias("node"), "child").distinct()
+    links = write_scratch(links.select(F.col("parent").alias("node"), "child").distinct(), "links")
     seen = write_scratch(roots.select("node").distinct(), "reached")
     frontier = seen
     while True:
@@ -58,11 +58,12 @@ def check_integrity(objects: DataFrame, hash_name: str = NATIVE) -> DataFrame:
     all that refer to it.  Each round does the objects whose children are done.
     An object that refers to a missing one is told with a null digest.
     """
-    objects = objects.dropDuplicates(["digest"])
+    objects = write_scratch(objects.select("digest", "blob", "refs").dropDuplicates(["digest"]), "objects")  # each round reads it
     leaves = objects.where(F.size("refs") == 0)
     done = write_scratch(leaves.select("digest", object_digest(F.col("blob"), F.col("refs"), hash_name).alias("calculated")), "checked")
-    waiting = objects.where(F.size("refs") > 0)
+    inner = objects.where(F.size("refs") > 0)
     while True:
+        waiting = inner.join(done.select("digest"), "digest", "left_anti")
         refs = waiting.select("digest", F.posexplode("refs").alias("at", "child"))
         known = refs.join(done.withColumnRenamed("digest", "child"), "child").groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("at", "calculated"))).alias("found"))
         ready = waiting.join(known, "digest").where(F.size("found") == F.size("refs"))
@@ -70,7 +71,6 @@ def check_integrity(objects: DataFrame, hash_name: str = NATIVE) -> DataFrame:
         if new.isEmpty():
             break
         done = done.union(new)
-        waiting = waiting.join(new.select("digest"), "digest", "left_anti")
     all_done = done.union(waiting.select("digest", F.lit(None).cast("binary").alias("calculated")))
     return all_done.where(~F.col("digest").eqNullSafe(F.col("calculated"))).select(F.col("digest").alias("stored"), "calculated")
 

@@ -61,10 +61,9 @@ def _leaves(snapshot: DataFrame) -> DataFrame:
 
 def _flat(snapshot: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The flat tree of a snapshot (directories with their digests), the root, and the tree objects."""
-    leaves = _leaves(snapshot)
-    root, objects = tree.build_tree(leaves)
-    objects = write_scratch(objects, "trees")
-    return tree.flatten(objects.dropDuplicates(["digest"]), bytes(root.first()["child"]["digest"])), root, objects
+    root, objects = tree.build_tree(write_scratch(_leaves(snapshot), "leaves"))
+    objects = write_scratch(objects.dropDuplicates(["digest"]), "trees")
+    return tree.flatten(objects, bytes(root.first()["child"]["digest"])), root, objects
 
 
 def _path(c: str = "path") -> Column:
