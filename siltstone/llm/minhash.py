@@ -156,8 +156,13 @@ def flood(sets: list[np.ndarray], side: np.ndarray | None, k: int, num: int, den
 def family_links(docs: DataFrame, classes: DataFrame, families: DataFrame, k: int, width: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between classes of a family with exact similarity num / den or more."""
     members = families.select(F.col("node").alias("cls"), F.col("component").alias("family")).join(classes.select("cls", "rep", "n_shingles"), "cls")
-    by_size = Window.partitionBy("family").orderBy("n_shingles", "cls").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    members = write_table(members.withColumn("block", F.floor(F.sum(F.col("n_shingles") + 64).over(by_size) / BLOCK_SHINGLES)), "members")
+    # Blocks follow the sizes, by running sums over the distinct sizes of a family; a size of many members has blocks of its own.
+    weight = F.sum(F.col("n_shingles") + 64)
+    before = Window.partitionBy("family").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = members.groupBy("family", "n_shingles").agg(weight.alias("w"))
+    sizes = sizes.withColumn("first", F.floor(F.coalesce(F.sum("w").over(before), F.lit(0)) / BLOCK_SHINGLES)).withColumn("parts", F.ceil(F.col("w") / BLOCK_SHINGLES))
+    block = F.col("first") + F.pmod(F.xxhash64("cls"), F.col("parts"))
+    members = write_table(members.join(sizes, ["family", "n_shingles"]).select("cls", "family", "rep", "n_shingles", block.alias("block")), "members")
     blocks = members.groupBy("family", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
     x, y = blocks.select("family", F.col("block").alias("i"), "hi"), blocks.select("family", F.col("block").alias("j"), "lo")
     pairs = x.join(y, "family").where(f"i <= j and hi * {den} >= lo * {num}").select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
