@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import ann, chat, ctw, decontamination, minhash, packing, quality, records, sharding, toxicity
+from siltstone.llm import ann, chat, ctw, decontamination, minhash, oracles, packing, quality, records, sharding, toxicity
 from siltstone.llm.tokens import vocabulary_path
 
 
@@ -83,4 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_context_tree": op9_context_tree,
     "op10_rules": op10_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_decontamination": oracles.contamination(0.8),
+    "op4_minhash": oracles.near_duplicates(85, 100),
+}
