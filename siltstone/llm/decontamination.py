@@ -18,7 +18,8 @@ that any item has weigh less than the threshold's share of the window.  This
 loses nothing: their similarity with any item is below the threshold.
 
 Items are taken ``ITEMS_A_PASS`` at a time, so what each pass broadcasts is
-bounded; texts are never shuffled.
+bounded; texts are never shuffled.  Where contaminated documents are dropped,
+each row is judged by its own text, with or without a doc_id.
 
 Defined results: null and empty texts and items match nothing; an item of fewer
 words than a shingle is one shingle and matches equal runs of words only;
@@ -205,40 +206,64 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, width
     """doc_id, item_id, start_word, n_words, similarity of the best window for each document and item found in it."""
     spark = docs.sparkSession
     narrow_batches(spark)
-    items = benchmark.select("item_id", "text").where("text is not null")
-    passes = -(-items.count() // ITEMS_A_PASS)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, start_word long, n_words long, similarity double"
     found = spark.createDataFrame([], schema)
-    for at in range(passes):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == at).collect()  # about ITEMS_A_PASS
-        found = found.unionByName(docs.select("doc_id", "text").mapInArrow(_finder(tuple(r["item_id"] for r in rows), tuple(r["text"] for r in rows), threshold, width, schema), schema))
+    for ids, texts in _passes(benchmark):
+        found = found.unionByName(docs.select("doc_id", "text").mapInArrow(_finder(ids, texts, threshold, width), schema))
     best = F.max_by(F.struct("start_word", "n_words", "similarity"), F.struct("similarity", -F.col("start_word")))
     return found.groupBy("doc_id", "item_id").agg(best.alias("m")).select("doc_id", "item_id", "m.start_word", "m.n_words", "m.similarity")
 
 
-def _finder(item_ids: tuple, texts: tuple, threshold: float, width: int, schema: str):
+def _found(index: Index, column: pa.Array, threshold: float) -> Iterator[tuple[int, int, tuple[float, int, int]]]:
+    """(row, item, (similarity, first word, words)) of every item found in the texts of a column."""
+    for slab in slabs(column):
+        found = Shingled(slab, index.width)
+        hit = index.has(found.hashes)
+        counts = np.concatenate(([0], np.cumsum(hit)))
+        for i in np.flatnonzero(np.diff(counts[found.first])).tolist():
+            part = slice(found.first[i], found.first[i + 1])
+            for item, match in text_matches(index, found.hashes[part], found.weights[part], hit[part], int(found.words[i]), threshold).items():
+                yield slab.first + i, item, match
+        for i, item, match in _short_matches(index, found):
+            yield slab.first + i, item, match
+
+
+def _finder(item_ids: tuple, texts: tuple, threshold: float, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(item_ids, texts, width)
         for batch in batches:
-            for slab in slabs(batch.column(1)):
-                found = Shingled(slab, width)
-                hit = index.has(found.hashes)
-                rows = []
-                seen = np.flatnonzero(np.add.reduceat(np.append(hit, False), np.minimum(found.first[:-1], len(hit))) * (np.diff(found.first) > 0)) if len(found.first) > 1 else []
-                for i in seen:
-                    part = slice(found.first[i], found.first[i + 1])
-                    rows += [(slab.first + i, k, m) for k, m in text_matches(index, found.hashes[part], found.weights[part], hit[part], int(found.words[i]), threshold).items()]
-                rows += [(slab.first + i, k, m) for i, k, m in _short_matches(index, found)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array([r[0] for r in rows])), pa.array([index.item_ids[r[1]] for r in rows]), pa.array([r[2][1] for r in rows], pa.int64()), pa.array([r[2][2] for r in rows], pa.int64()), pa.array([r[2][0] for r in rows], pa.float64())],
-                        ["doc_id", "item_id", "start_word", "n_words", "similarity"],
-                    )
+            rows = list(_found(index, batch.column(1), threshold))
+            if rows:
+                numbers = [pa.array([m[j] for _, _, m in rows], kind) for j, kind in ((1, pa.int64()), (2, pa.int64()), (0, pa.float64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i for i, _, _ in rows])), pa.array([index.item_ids[k] for _, k, _ in rows]), *numbers], ["doc_id", "item_id", "start_word", "n_words", "similarity"])
 
     return run
 
 
+def _passes(benchmark: DataFrame) -> Iterator[tuple[tuple, tuple]]:
+    """Ids and texts of about ITEMS_A_PASS items at a time."""
+    items = benchmark.select("item_id", "text").where("text is not null")
+    passes = -(-items.count() // ITEMS_A_PASS)
+    for at in range(passes):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == at).collect()
+        yield tuple(r["item_id"] for r in rows), tuple(r["text"] for r in rows)
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
-    """The documents in which no benchmark item is found."""
-    gone = matches(docs, benchmark, threshold, width).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The rows in whose text no benchmark item is found; texts are filtered where they are read, so nothing is shuffled."""
+    narrow_batches(docs.sparkSession)
+    at = docs.columns.index("text")
+
+    def clean(ids: tuple, texts: tuple):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = _index(ids, texts, width)
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[i for i, _, _ in _found(index, batch.column(at), threshold)]] = False
+                yield batch.filter(pa.array(keep))
+
+        return run
+
+    for ids, texts in _passes(benchmark):
+        docs = docs.mapInArrow(clean(ids, texts), docs.schema)
+    return docs

@@ -316,6 +316,9 @@ def test_contamination_equals_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in found.collect()} == want
     left = decontamination.drop_contaminated(make(spark, docs), bench)
     assert {r["doc_id"] for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in want}
+    own = decontamination.drop_contaminated(make(spark, [(None, items[4][1]), (1, items[4][1]), (1, "clean"), (None, None)]), bench)
+    assert sorted(((r["doc_id"], r["text"]) for r in own.collect()), key=str) == [(1, "clean"), (None, None)]
+    assert decontamination.drop_contaminated(make(spark, docs), bench.where("false")).count() == len(docs)
     assert decontamination.matches(make(spark, docs), bench.where("false")).count() == 0
     assert decontamination.matches(make(spark, []), bench).count() == 0
 
