@@ -8,7 +8,7 @@ reranked by exact Euclidean distance of the original vectors in double
 precision.
 
 A bucket is one group of work: its queries stand first, its vectors stream past
-them in batches, and only each query's ``k`` best leave the task.  Buckets with
+them in batches, and only each query's ``k`` best vec_ids leave the task.  Buckets with
 more than ``TASK_ROWS`` vectors or queries are cut into parts, each pair of
 parts being a task, so that a hot bucket is spread and never gathered.  Queries
 that find fewer than ``k`` others look into every bucket of one table, so all
@@ -111,8 +111,17 @@ def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _distinct(ids: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids and each query's least distance to one of their rows."""
+    names, inverse = np.unique(ids, return_inverse=True)
+    if len(names) == len(ids):
+        return ids, distance
+    order = np.argsort(inverse, kind="stable")
+    return names, np.minimum.reduceat(distance[:, order], np.searchsorted(inverse[order], np.arange(len(names))), axis=1)
+
+
 def scan(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by task, queries first: each query's k nearest of its task's vectors."""
+    """Rows sorted by task, queries first: each query's k nearest vec_ids of its task, each by its nearest row."""
     key, queries, best = None, None, None
 
     def done() -> Iterator[pa.RecordBatch]:
@@ -135,11 +144,14 @@ def scan(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.Rec
             elif queries is not None:
                 for at in range(lo, hi, 2048):
                     part = slice(at, min(hi, at + 2048))
-                    distance = _distances(queries[1], x[part])
-                    near = _nearest(ids[part][None], queries[0], distance, k)
-                    found, scores = ids[part][near], np.take_along_axis(np.where(ids[part][None] == queries[0][:, None], np.inf, distance), near, 1)
+                    names, distance = _distinct(ids[part], _distances(queries[1], x[part]))
+                    near = _nearest(names[None], queries[0], distance, k)
+                    found, scores = names[near], np.take_along_axis(np.where(names[None] == queries[0][:, None], np.inf, distance), near, 1)
                     if best is not None:
                         found, scores = np.concatenate((best[0], found), 1), np.concatenate((best[1], scores), 1)
+                        order = np.lexsort((scores, found), axis=1)
+                        found, scores = np.take_along_axis(found, order, 1), np.take_along_axis(scores, order, 1)
+                        scores[:, 1:][found[:, 1:] == found[:, :-1]] = np.inf  # a farther row of the same vec_id
                         order = np.lexsort((found, scores), axis=1)[:, :k]
                         found, scores = np.take_along_axis(found, order, 1), np.take_along_axis(scores, order, 1)
                     best = found, scores

@@ -89,6 +89,24 @@ def test_neighbours(spark, monkeypatch):
     assert ann.search(vectors(spark, []), F.col("vec_id") % 100 == 0).count() == 0
 
 
+@pytest.mark.parametrize("copies", [30, 1500])  # within a part of a batch, and over several
+def test_repeated_ids_take_one_place(spark, copies):
+    rng = np.random.default_rng(3)
+    near = np.eye(20)[0]
+    rows = [(i, (near + 0.05 * rng.normal(size=20)).astype(np.float32).tolist()) for i in range(40)]
+    hot = [(50 + i % 2, (near + 0.01 * rng.normal(size=20)).astype(np.float32).tolist()) for i in range(2 * copies)]
+    least = {}
+    for i, v in rows + hot:
+        d = float(np.sqrt(((np.array(v, np.float32).astype(float) - np.array(rows[0][1], np.float32).astype(float)) ** 2).sum()))
+        least[i] = min(least.get(i, d), d)
+    want = sorted((d, i) for i, d in least.items() if i != 0)
+    for k in (5, 60):  # fewer than there are, and more
+        got = ann.search(vectors(spark, hot + rows), F.col("vec_id") == 0, k=k).collect()
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got)
+        assert [r[0] for r in own] == list(range(1, min(k, 41) + 1)) and len({v for _, v, _ in own}) == len(own)
+        assert [(v, s) for _, v, s in own] == [(i, pytest.approx(d)) for d, i in want[:k]]
+
+
 def test_hadamard_is_an_isometry():
     x = np.random.default_rng(1).normal(size=(5, 16))
     y = ann.hadamard(x)
