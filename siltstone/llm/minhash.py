@@ -63,19 +63,20 @@ def least_overlap(k: int, t: float, miss: float = _MISS) -> int:
 
 
 def signatures(docs: DataFrame, k: int, width: int) -> DataFrame:
-    """doc_id, n_shingles, cls (16 bytes naming the set; null without one) and sketch."""
+    """row, doc_id, n_shingles, cls (16 bytes naming the set; null without one) and sketch, of docs (row, doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for sets in shingle_sets(batch.column(1), width):
+            for sets in shingle_sets(batch.column(2), width):
                 cls = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 sketch = pa.array([s[:k].view(np.int64) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), sketch], ["doc_id", "n_shingles", "cls", "sketch"])
+                own = [batch.column(i).slice(at, len(sets)) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), sketch], ["row", "doc_id", "n_shingles", "cls", "sketch"])
                 at += len(sets)
 
     narrow_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, cls binary, sketch array<long>")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, cls binary, sketch array<long>")
 
 
 def candidate_edges(classes: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -214,15 +215,24 @@ def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], lis
         yield group()
 
 
-def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5, k: int = 32) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row; similarity of num / den or more links."""
+def _grouped(docs: DataFrame, num: int, den: int, width: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures of docs (row, doc_id, text), and cls, rep, first and component of each class; ``first`` is its row of least doc_id, then least number."""
     found = write_table(signatures(docs, k, width), "signatures")
-    classes = found.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+    classes = found.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep"), first, F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     classes = write_table(classes, "classes")
     families = components(candidate_edges(classes, k, num, den))
     links = write_table(family_links(docs, classes, families, k, width, num, den), "links")
     of = components(links)
-    named = classes.select("cls", "rep").join(of.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    return found, classes.select("cls", "rep", "first").join(of.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+
+
+def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5, k: int = 32) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row; similarity of num / den or more links.
+
+    kept: whether the row has its component's least doc_id, so of repeated rows with it all.
+    """
+    found, named = _grouped(docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), num, den, width, k)
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = named.join(least, "component").select("cls", "component_id")
     alone = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
@@ -230,7 +240,15 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5,
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def drop_near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5, k: int = 32) -> DataFrame:
-    """The documents without those that a near duplicate with a lesser doc_id stands for."""
-    gone = near_duplicates(docs, num, den, width, k).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def drop_near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5, k: int = 32, spare_unnamed: bool = True) -> DataFrame:
+    """One row of each component, decided by each row's own text, and all rows without a set.
+
+    The row of least doc_id stays, of several with it any one; a row without
+    doc_id only where no row of the component has one.  With ``spare_unnamed``
+    every row without doc_id stays besides.
+    """
+    rows = write_table(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc")), "rows")  # row numbers that hold from here on
+    found, named = _grouped(rows.select("row", "doc.doc_id", "doc.text"), num, den, width, k)
+    stay = named.groupBy("component").agg(F.min("first").alias("first")).select("first.row")
+    gone = found.where("cls is not null and doc_id is not null" if spare_unnamed else "cls is not null").select("row").join(stay, "row", "left_anti")
+    return rows.join(gone, "row", "left_anti").select("doc.*")

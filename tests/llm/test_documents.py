@@ -76,6 +76,24 @@ def test_near_duplicates_of_null_ids_and_nothing(spark):
     assert kept.columns == [c.split()[0] for c in SCHEMA.split(", ")] and sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "None", "None"]
 
 
+def test_one_row_of_a_component_stays(spark):
+    same, other = "a b c d e f", "q r s t u v"
+    rows = [(3, same), (3, same), (3, "A  b c d e f"), (9, same), (None, same), (9, "a text of its own"), (None, other), (None, other), (None, None), (None, ""), (12, ""), (12, "")]
+    docs = make(spark, rows).repartition(3)
+    kept = sorted(((r["doc_id"], (r["text"] or "").lower().split()) for r in minhash.drop_near_duplicates(docs, spare_unnamed=False).collect()), key=str)
+    want = [(3, same), (9, "a text of its own"), (None, other), (None, ""), (None, ""), (12, ""), (12, "")]
+    assert kept == sorted(((i, t.split()) for i, t in want), key=str)
+    spared = Counter(r["doc_id"] for r in minhash.drop_near_duplicates(docs).collect())
+    assert spared == {3: 1, 9: 1, None: 5, 12: 2}
+
+
+def test_the_pipeline_drops_copies_without_ids(spark, data):
+    import corpus_pipeline
+
+    docs = make(spark, [(None, "a b c d e f"), (None, "A b c d e f"), (7, "a b c d  e f"), (None, "q r s"), (None, "q r s")])
+    assert sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, data).collect()), key=str) == [(7, "a b c d  e f"), (None, "q r s")]
+
+
 def test_the_flood_filter_keeps_what_is_similar():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 400, dtype=np.uint64)
