@@ -7,12 +7,18 @@ letter: the ids of the parts, side by side, are the ids of the whole.  No cut
 is made after a character that Unicode calls white space, since the splitter
 treats a run of spaces as one, nor at an apostrophe or a character of special
 tokens.  Each distinct part is encoded by the library and remembered.
+
+A special token's characters in a text are that token, as the library has it by
+default; so special tokens must hold no white space and take none from beside
+them, which is checked.  They are found by their exact bytes, so a part that
+holds one is remembered by its exact bytes too.
 """
 
 from __future__ import annotations
 
 import functools
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -28,6 +34,9 @@ MEMO_PARTS = 800_000
 #: Bytes of texts worked on at once, and parts given to the library at once, which keeps much beside the ids of each.
 TEXT_AT_ONCE, ENCODE_AT_ONCE = 1 << 20, 4096
 
+#: Sets the keys of parts that hold a special token apart from those of folded ones.
+_EXACT_KEY = np.uint64(0x9E3779B97F4A7C15)
+
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _MARK = np.zeros(256, bool)
@@ -82,7 +91,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip or any(c.isspace() or c in "!#$%&*+,-./:;=?@" for c in t.content) for t in added):
+            raise ValueError(f"{path}: an added token that parts cannot keep whole")
+        self.special = re.compile(b"|".join(re.escape(t.content.encode()) for t in added)) if added else None
         normalizer = self.tokenizer.normalizer
         #: Whether the vocabulary itself lower-cases and drops white space, so that parts may differ in both.
         self.folds = normalizer is not None and normalizer.normalize_str("  Ab").strip() == "ab"
@@ -118,7 +130,11 @@ class Encoder:
             spaces = np.concatenate(([0], np.cumsum(_IS_SPACE[slab.data])))
             text = np.flatnonzero(~_IS_SPACE[slab.data])
             begin = np.minimum(np.append(text, len(slab.data))[starts - spaces[starts]], ends)
-        keys, where, inverse = np.unique(span_hashes(slab.data, begin, ends, fold_case=self.folds), return_index=True, return_inverse=True)
+        names = span_hashes(slab.data, begin, ends, fold_case=self.folds)
+        if self.folds and self.special:
+            held = np.unique(np.searchsorted(starts, [m.start() for m in self.special.finditer(slab.data.tobytes())], "right") - 1)
+            names[held] = span_hashes(slab.data, begin[held], ends[held], fold_case=False) ^ _EXACT_KEY
+        keys, where, inverse = np.unique(names, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
         self.again[at[known]] = True

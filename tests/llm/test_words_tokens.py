@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from siltstone.llm import tokens, words
 
@@ -60,6 +61,30 @@ def test_parts_give_the_library_s_ids(name):
     run()
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("memo", [50, 100_000])
+def test_special_tokens_are_the_library_s(name, memo):
+    path = tokens.vocabulary_path(name)
+    enc, plain = tokens.Encoder(path, memo_parts=memo), Tokenizer.from_file(path)
+    end = "<|endoftext|>"
+    fixed = [f"hello {end} there", f"hello {end.upper()} there", f"hello {end} there", f"x{end}y, {end}{end}.", f"  {end}  \n", f"<{end}|>", "<|EndOfText|>", end, "<|endoftext", "<|startoftext|>A b", "<|StartOfText|>a B"]
+
+    def same(texts):
+        got = [e.ids[e.first[i] : e.first[i + 1]].tolist() for slab, e in enc.encode(pa.array(texts, pa.string())) for i in range(len(slab))]
+        assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+    for texts in (fixed, fixed[::-1], *[[t] for t in fixed]):
+        same(texts)
+    piece = st.one_of(st.sampled_from([end, end.upper(), "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>"]), st.text(st.sampled_from(list("aAZ é\t\n'.,\xa0<|>!")), max_size=5))
+
+    @given(st.lists(st.lists(piece, max_size=8).map("".join), max_size=6))
+    @settings(max_examples=150, deadline=None)
+    def run(texts):
+        same(texts)
+
+    run()
+
+
 def test_binary_array():
     a = words.binary_array(np.array([1, 2, 3], np.uint32), np.array([0, 1, 1, 3]))
     assert [len(x.as_py()) for x in a] == [4, 0, 8]
