@@ -41,6 +41,8 @@ SAMPLE = 20_000
 LEXICON = 5_000
 PREFIXES = range(3, 13)
 MIN_G2, MIN_TEXTS = 30.0, 3
+#: The score from which the pipeline drops a text, the one from which op5_toxicity calls it toxic.
+TOXIC = 0.3
 
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 #: Look-alikes of Latin letters in the Cyrillic and Greek blocks.
@@ -254,7 +256,7 @@ def scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, weight double, count long, length long, score double")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = TOXIC) -> DataFrame:
     """The documents with a score under ``threshold``, learnt from all labels."""
     narrow_batches(docs.sparkSession)
     lexicon = learn(docs, labels)

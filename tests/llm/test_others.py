@@ -166,6 +166,15 @@ def test_classifiers(spark):
     assert quality.drop_poor(docs, labels).columns == docs.columns
 
 
+def test_what_is_called_toxic_is_dropped(spark, monkeypatch):
+    docs, labels, _ = labelled_docs(spark, 20)
+    for score in (0.29, 0.3, 0.4, 0.6):
+        lexicon = toxicity.Lexicon({}, prior=score)
+        monkeypatch.setattr(toxicity, "learn", lambda *_, known=lexicon: known)
+        called = queries._predicted(toxicity.scores(docs, lexicon), F.lit(True)).where("predicted = 0").count()
+        assert toxicity.drop_toxic(docs, labels).count() == called == (docs.count() if score < 0.3 else 0)
+
+
 def test_classifiers_without_labels(spark):
     docs, labels, _ = labelled_docs(spark, 20)
     none = labels.where("false")
