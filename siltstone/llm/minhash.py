@@ -11,8 +11,9 @@
    together is a family.  A family is compared within one task, or, beyond
    ``BLOCK_SHINGLES``, in tasks for each pair of its blocks by size.
 4. Within a task, a flood from each class compares it with the classes not yet
-   reached: the union-sketch estimate drops those far below t, exact Jaccard
-   on the full sets decides on the rest.  Only links that join something new
+   reached: those whose sketches share fewer than the same c values are dropped
+   (the same event, so a pair is missed with probability under 1e-7 in all),
+   exact Jaccard on the full sets decides on the rest.  Only links that join something new
    are emitted, so a group of m classes gives under m links, not m * m / 2.
 5. Components of the links, by joins; the least doc_id names a component.
 
@@ -25,6 +26,7 @@ component; an empty table gives no rows.  Only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -51,6 +53,7 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[list[np.ndarray]]:
         yield [np.unique(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
 
+@functools.lru_cache(maxsize=1024)
 def least_overlap(k: int, t: float, miss: float = _MISS) -> int:
     """The greatest c for which sketches of sets with similarity t share fewer than c values with probability under ``miss``."""
     total, c = 0.0, 0
@@ -113,8 +116,8 @@ def flood(sets: list[np.ndarray], side: np.ndarray | None, k: int, num: int, den
     last = np.where(sizes > k, sketch[:, -1], absent)
     mark = np.zeros(absent + 1, bool)
     sketched = np.zeros(absent + 1, bool)
-    t = num / den
-    slack = 5.5 * math.sqrt(t * (1 - t))
+    # A pair that meets in the inverted lists shares as many values as this asks for, so nothing more is lost here.
+    need = np.array([1, *(least_overlap(n, num / den) for n in range(1, k + 1))])
     free = np.ones(m, bool)
     links: list[tuple[int, int]] = []
     for root in range(m):
@@ -138,7 +141,7 @@ def flood(sets: list[np.ndarray], side: np.ndarray | None, k: int, num: int, den
             cut = np.minimum(last[near], last[u])
             union = np.searchsorted(own, cut, "right") + ((theirs <= cut[:, None]) & (theirs < absent)).sum(1) - both
             sketched[own] = False
-            near = near[both >= union * t - slack * np.sqrt(union)]
+            near = near[both >= need[np.minimum(union, k)]]
             if not len(near):
                 continue
             mark[ids[first[u] : first[u + 1]]] = True

@@ -121,6 +121,22 @@ def test_the_flood_filter_keeps_what_is_similar():
     assert pairs(parent) == pairs(other)
 
 
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (4, 5)])
+def test_the_flood_filter_asks_for_no_more_than_the_lists(num, den):
+    k, size = 32, 100
+    shared = minhash.least_overlap(k, num / den)
+    both = size * 2 * num // (den + num) + 1  # as many shared hashes as the threshold needs
+    low = np.arange(shared, dtype=np.uint64)
+    own = [100 + 2 * np.arange(k - shared, dtype=np.uint64) + np.uint64(i) for i in range(2)]
+    rest = 10_000 + np.arange(both - shared, dtype=np.uint64)
+    fill = [20_000 * (i + 1) + np.arange(max(0, size - both - (k - shared)), dtype=np.uint64) for i in range(2)]
+    sets = [np.sort(np.concatenate((low, own[i], rest, fill[i])).astype(np.uint64)) for i in range(2)]
+    common = len(np.intersect1d(*sets))
+    union = len(np.union1d(*sets))
+    num, den = common, union  # at exactly their similarity
+    assert [len(x) for x in minhash.flood(sets, None, k, num, den)] == [2]
+
+
 def test_packing(spark):
     rows = corpus()
     path = vocabulary_path("word_bpe_49k.json")
