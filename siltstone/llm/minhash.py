@@ -20,8 +20,8 @@
 Defined results: null and empty texts and texts of white space have no set and
 are linked with nothing; texts with fewer words than a shingle have one shingle,
 all of them; equal texts are linked always; a row without doc_id takes its
-class's component, but a class in which no row has a doc_id stays alone, with a null
-component; an empty table gives no rows.  Only ``doc_id`` and ``text`` are read.
+component's, and links others as any row does; a component in which no row has a
+doc_id is null; an empty table gives no rows.  Only ``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -159,19 +159,19 @@ def flood(sets: list[np.ndarray], side: np.ndarray | None, k: int, num: int, den
 
 def family_links(docs: DataFrame, classes: DataFrame, families: DataFrame, k: int, width: int, num: int, den: int) -> DataFrame:
     """Links (a, b) between classes of a family with exact similarity num / den or more."""
-    members = families.select(F.col("node").alias("cls"), F.col("component").alias("family")).join(classes.select("cls", "rep", "n_shingles"), "cls")
+    members = families.select(F.col("node").alias("cls"), F.col("component").alias("family")).join(classes.select("cls", "first.row", "n_shingles"), "cls")
     # Blocks follow the sizes, by running sums over the distinct sizes of a family; a size of many members has blocks of its own.
     weight = F.sum(F.col("n_shingles") + 64)
     before = Window.partitionBy("family").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)
     sizes = members.groupBy("family", "n_shingles").agg(weight.alias("w"))
     sizes = sizes.withColumn("first", F.floor(F.coalesce(F.sum("w").over(before), F.lit(0)) / BLOCK_SHINGLES)).withColumn("parts", F.ceil(F.col("w") / BLOCK_SHINGLES))
     block = F.col("first") + F.pmod(F.xxhash64("cls"), F.col("parts"))
-    members = write_table(members.join(sizes, ["family", "n_shingles"]).select("cls", "family", "rep", "n_shingles", block.alias("block")), "members")
+    members = write_table(members.join(sizes, ["family", "n_shingles"]).select("cls", "family", "row", "n_shingles", block.alias("block")), "members")
     blocks = members.groupBy("family", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
     x, y = blocks.select("family", F.col("block").alias("i"), "hi"), blocks.select("family", F.col("block").alias("j"), "lo")
     pairs = x.join(y, "family").where(f"i <= j and hi * {den} >= lo * {num}").select("family", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    work = members.join(pairs, ["family", "block"]).groupBy("cls", "rep", "family").agg(F.collect_list(F.struct("i", "j", "block")).alias("tasks"))  # a task for each block that its own meets
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(work, "rep").select("text", "cls", "family", "tasks")
+    work = members.join(pairs, ["family", "block"]).groupBy("cls", "row", "family").agg(F.collect_list(F.struct("i", "j", "block")).alias("tasks"))  # a task for each block that its own meets
+    texts = docs.select("row", "text").join(work, "row").select("text", "cls", "family", "tasks")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,9 +179,7 @@ def family_links(docs: DataFrame, classes: DataFrame, families: DataFrame, k: in
             for sets in shingle_sets(batch.column(0), width):
                 rest = batch.slice(at, len(sets))
                 at += len(sets)
-                ok = pa.array([bool(len(s)) and xxhash.xxh3_128_digest(s.tobytes()) == c for s, c in zip(sets, rest["cls"].to_pylist(), strict=True)])
-                made = pa.RecordBatch.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *rest.columns[1:]], ["n", "shingles", "cls", "family", "tasks"])
-                yield made.filter(ok)
+                yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *rest.columns[1:]], ["n", "shingles", "cls", "family", "tasks"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, sets, side in _tasks(batches):
@@ -209,8 +207,6 @@ def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], lis
                 if names:
                     yield group()
                 key, names, sets, blocks = (family, i, j), [], [], []
-            if names and names[-1] == cls:  # the same doc_id and text more than once
-                continue
             names.append(cls)
             sets.append(np.frombuffer(raw, np.uint64))
             blocks.append(block)
@@ -235,7 +231,8 @@ def near_duplicates(docs: DataFrame, num: int = 4, den: int = 5, width: int = 5,
 
     kept: whether the row has its component's least doc_id, so of repeated rows with it all.
     """
-    found, named = _grouped(docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text"), num, den, width, k)
+    rows = write_table(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "rows")
+    found, named = _grouped(rows, num, den, width, k)
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     by_class = named.join(least, "component").select("cls", "component_id")
     alone = F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

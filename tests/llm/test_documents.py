@@ -87,6 +87,17 @@ def test_one_row_of_a_component_stays(spark):
     assert spared == {3: 1, 9: 1, None: 5, 12: 2}
 
 
+def test_texts_without_ids_link_others(spark):
+    w = [f"w{i}" for i in range(120)]
+    a, b, c = " ".join(w), " ".join([*w[10:], *"abcdefghij"]), " ".join([*w[20:], *"abcdefghij", *"klmnopqrst"])
+    rows = [(2, a), (None, b), (5, c), (None, "x " + a.upper()), (None, " ".join(f"v{i}" for i in range(99))), (None, " ".join(f"v{i}" for i in range(1, 99)))]
+    docs = make(spark, rows)
+    got = Counter((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs).collect())
+    assert got == {(2, 2): 1, (5, 2): 1, (None, 2): 2, (None, None): 2}
+    kept = minhash.drop_near_duplicates(docs, spare_unnamed=False).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["2", "None"]
+
+
 def test_the_pipeline_drops_copies_without_ids(spark, data):
     import corpus_pipeline
 
