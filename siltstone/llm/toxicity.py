@@ -38,7 +38,6 @@ from siltstone.llm.words import as_text
 
 #: Labelled texts to learn from.
 SAMPLE = 20_000
-LEXICON = 5_000
 PREFIXES = range(3, 13)
 MIN_G2, MIN_TEXTS = 30.0, 3
 #: The score from which the pipeline drops a text, the one from which op5_toxicity calls it toxic.
@@ -185,7 +184,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", train: Colum
     begun = begun.groupBy("term").agg(F.sum("pos").alias("a"), F.sum("neg").alias("b")).where(f"a >= {MIN_TEXTS} and a * {neg}.0 > 3.0 * b * {pos}.0")
     share = (F.col("a") + F.col("b")) / (pos + neg)
     g2 = 2 * (F.col("a") * F.log(F.col("a") / (pos * share)) + F.when(F.col("b") > 0, F.col("b") * F.log(F.col("b") / (neg * share))).otherwise(0))
-    rows = begun.withColumn("g2", g2).where(F.col("g2") >= MIN_G2).orderBy(F.desc("g2"), "term").limit(LEXICON).collect()
+    rows = begun.withColumn("g2", g2).where(F.col("g2") >= MIN_G2).collect()  # bounded by the sample, as are the phrases
     lexicon = Lexicon(choose_terms([(r["term"], r["a"], r["b"]) for r in rows], pos, neg), sorted({fold(x).strip() for x in exceptions or []}))
     lexicon.exceptions = sorted({*lexicon.exceptions, *_spared(texts, lexicon)})
     raw = texts.select(F.lit(0).alias("doc_id"), "text", "label").mapInArrow(_scorer(lexicon, "label"), "doc_id int, label int, weight double, count long, length long").select("label", "weight", "count", "length").toPandas()  # the sample's few numbers
@@ -217,7 +216,7 @@ def _spared(texts: DataFrame, lexicon: Lexicon) -> list[str]:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int32())], ["phrase", "label"])
 
     found = texts.mapInArrow(run, "phrase string, label int").groupBy("phrase").agg(F.sum("label").alias("a"), F.count("*").alias("n"))
-    rows = found.where(f"a = 0 and n >= {MIN_TEXTS}").orderBy(F.desc("n"), "phrase").limit(LEXICON).collect()
+    rows = found.where(f"a = 0 and n >= {MIN_TEXTS}").collect()
     return [r["phrase"] for r in rows]
 
 

@@ -166,6 +166,20 @@ def test_classifiers(spark):
     assert quality.drop_poor(docs, labels).columns == docs.columns
 
 
+def test_every_telling_term_and_phrase_is_learnt(spark):
+    letters = "bcdfghjklmnpqrstuvwx"
+    names = [a + b + c for a in letters for b in letters for c in letters]
+    terms = [n + "zzzzzzzzz" for n in names[:600]]  # ten beginnings each
+    before = [n + "q" for n in names[600:610]]
+    spared = [f"{b} {t}" for b in before for t in terms]
+    texts = [" ".join(terms)] * 40 + [" ".join(spared)] * 3 + [" ".join(n + "y" for n in names[1000:3000])] * 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 40)) for i in range(len(texts))], "doc_id long, toxic int")
+    lexicon = toxicity.learn(docs, labels)
+    assert all(any(t.startswith(w) for w in lexicon.weights) for t in terms)
+    assert len(lexicon.exceptions) > 5000
+
+
 def test_what_is_called_toxic_is_dropped(spark, monkeypatch):
     docs, labels, _ = labelled_docs(spark, 20)
     for score in (0.29, 0.3, 0.4, 0.6):
