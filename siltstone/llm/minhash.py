@@ -1,7 +1,8 @@
 """Near-duplicate classes by bottom-k sketches of one hash function.
 
 1. Every text's set of word shingles is hashed once; the ``k`` least hashes are
-   its sketch.  Texts with equal sets are one class from here on.
+   its sketch.  Texts with equal sets are one class from here on.  A shingle is
+   known by 128 bits of its hash, of which the sketch has the first half.
 2. Inverted lists of the retained values: two sets with similarity t share at
    least c sketch values but with a probability under 1e-7 (c from the binomial
    tail).  So each class looks only into the lists of its k - c + 1 rarest
@@ -36,21 +37,41 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.components import components
+from siltstone.llm.components import components, split_join
 from siltstone.llm.shared import narrow_batches, write_table
-from siltstone.llm.words import shingle_hashes, slabs, span_hashes, words
+from siltstone.llm.words import shingle_hashes, slabs, span_digests, words
 
 #: Shingle hashes of a block of a large family; a task holds two blocks at most.
-BLOCK_SHINGLES = 3_000_000
+BLOCK_SHINGLES = 500_000
 _MISS = 1e-7
 
 
-def shingle_sets(column: pa.Array, width: int) -> Iterator[list[np.ndarray]]:
-    """The sorted distinct shingle hashes of each text, by slabs."""
+def shingle_sets(column: pa.Array, width: int) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+    """The distinct shingles of each text, by slabs: the two halves of their 128-bit hashes, ascending by the first."""
     for slab in slabs(column):
         w = words(slab)
-        h, first = shingle_hashes(span_hashes(slab.data, w.starts, w.ends), w.first, width)
-        yield [np.unique(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+        low, high = (shingle_hashes(x, w.first, width) for x in span_digests(slab.data, w.starts, w.ends))
+        yield [_distinct(low[0][a:b], high[0][a:b]) for a, b in zip(low[1][:-1].tolist(), low[1][1:].tolist(), strict=True)]
+
+
+def _order(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by 128-bit numbers, and which of them in it differ from the one before (but for the first)."""
+    order = np.argsort(low, kind="stable")
+    x, y = low[order], high[order]
+    new = x[1:] != x[:-1]
+    if (~new & (y[1:] != y[:-1])).any():
+        order = np.lexsort((high, low))
+        x, y = low[order], high[order]
+        new = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return order, new
+
+
+def _distinct(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(low):
+        return low, high
+    order, new = _order(low, high)
+    order = order[np.concatenate(([True], new))]
+    return low[order], high[order]
 
 
 @functools.lru_cache(maxsize=1024)
@@ -72,10 +93,10 @@ def signatures(docs: DataFrame, k: int, width: int) -> DataFrame:
         for batch in batches:
             at = 0
             for sets in shingle_sets(batch.column(2), width):
-                cls = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-                sketch = pa.array([s[:k].view(np.int64) for s in sets], pa.list_(pa.int64()))
+                cls = [xxhash.xxh3_128_digest(low.tobytes() + high.tobytes()) if len(low) else None for low, high in sets]
+                sketch = pa.array([low[:k].view(np.int64) for low, _ in sets], pa.list_(pa.int64()))
                 own = [batch.column(i).slice(at, len(sets)) for i in range(2)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.binary()), sketch], ["row", "doc_id", "n_shingles", "cls", "sketch"])
+                yield pa.RecordBatch.from_arrays([*own, pa.array([len(low) for low, _ in sets], pa.int64()), pa.array(cls, pa.binary()), sketch], ["row", "doc_id", "n_shingles", "cls", "sketch"])
                 at += len(sets)
 
     narrow_batches(docs.sparkSession)
@@ -87,7 +108,7 @@ def candidate_edges(classes: DataFrame, k: int, num: int, den: int) -> DataFrame
     c = least_overlap(k, num / den)
     postings = classes.select("cls", "n_shingles", F.explode("sketch").alias("v"))
     lists = postings.groupBy("v").agg(F.count("*").alias("f")).where("f > 1")
-    shared = postings.join(lists, "v").groupBy("cls", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("found"))  # k at most
+    shared = split_join(postings, lists, "v").groupBy("cls", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("f", "v"))).alias("found"))  # k at most
     n = F.col("n_shingles")
     need = F.when(n <= k * num // den, F.floor((n * num + den - 1) / den)).otherwise(c)
     # Of held values, held - need + 1 are looked up, rarest first; those in no other sketch are the rarest.
@@ -95,20 +116,21 @@ def candidate_edges(classes: DataFrame, k: int, num: int, den: int) -> DataFrame
     rare = shared.where(places > 0).select("cls", F.explode(F.slice("found", F.lit(1), places)).alias("x")).select("cls", F.col("x.v").alias("v"))
     rare = write_table(rare, "rare")
     tied = rare.groupBy("v").agg(F.min("cls").alias("b"), F.count("*").alias("f")).where("f > 1").select("v", "b")
-    return rare.join(tied, "v").select(F.col("cls").alias("a"), "b").where("a <> b").distinct()
+    return split_join(rare, tied, "v").select(F.col("cls").alias("a"), "b").where("a <> b").distinct()
 
 
-def flood(sets: list[np.ndarray], side: np.ndarray | None, k: int, num: int, den: int) -> list[tuple[int, int]]:
+def flood(sets: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray | None, k: int, num: int, den: int) -> list[tuple[int, int]]:
     """Links that span the similar sets, which are in ascending order of size.
 
     side: if given, only sets of different sides are compared.
     """
     m = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    ids = ids.astype(np.int32)
+    sizes = np.array([len(low) for low, _ in sets], np.int64)
+    order, new = _order(np.concatenate([low for low, _ in sets]), np.concatenate([high for _, high in sets]))
+    ids = np.empty(len(order), np.int32)
+    ids[order] = np.concatenate(([0], np.cumsum(new)))
     first = np.concatenate(([0], np.cumsum(sizes)))
-    absent = len(vocabulary)
+    absent = int(new.sum()) + 1
     sketch = np.full((m, k), absent, np.int32)
     for i in range(m):
         part = ids[first[i] : first[i] + min(k, sizes[i])]
@@ -179,7 +201,7 @@ def family_links(docs: DataFrame, classes: DataFrame, families: DataFrame, k: in
             for sets in shingle_sets(batch.column(0), width):
                 rest = batch.slice(at, len(sets))
                 at += len(sets)
-                yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), *rest.columns[1:]], ["n", "shingles", "cls", "family", "tasks"])
+                yield pa.RecordBatch.from_arrays([pa.array([len(low) for low, _ in sets], pa.int64()), pa.array([low.tobytes() + high.tobytes() for low, high in sets], pa.binary()), *rest.columns[1:]], ["n", "shingles", "cls", "family", "tasks"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, sets, side in _tasks(batches):
@@ -193,7 +215,7 @@ def family_links(docs: DataFrame, classes: DataFrame, families: DataFrame, k: in
     return dealt.mapInArrow(compare, "a binary, b binary")
 
 
-def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[np.ndarray], np.ndarray | None]]:
+def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]], np.ndarray | None]]:
     """Rows sorted by task, as one group each: names, sets, and the sides if there are two."""
     key, names, sets, blocks = None, [], [], []
 
@@ -208,7 +230,7 @@ def _tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], lis
                     yield group()
                 key, names, sets, blocks = (family, i, j), [], [], []
             names.append(cls)
-            sets.append(np.frombuffer(raw, np.uint64))
+            sets.append(tuple(np.frombuffer(raw, np.uint64).reshape(2, -1)))
             blocks.append(block)
     if names:
         yield group()

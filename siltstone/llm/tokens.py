@@ -26,7 +26,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 
-from siltstone.llm.words import _IS_SPACE, Slab, slabs, span_hashes
+from siltstone.llm.words import _IS_SPACE, Slab, slabs, span_digests
 
 #: Parts remembered by a worker; beyond that it keeps those seen more than once, or none. Bounds memory, never the result.
 MEMO_PARTS = 800_000
@@ -99,15 +99,15 @@ class Encoder:
         #: Whether the vocabulary itself lower-cases and drops white space, so that parts may differ in both.
         self.folds = normalizer is not None and normalizer.normalize_str("  Ab").strip() == "ab"
         self.memo_parts = memo_parts
-        self._keep(np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
+        self._keep(np.zeros(0, bool), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32))
 
-    def _keep(self, kept: np.ndarray, keys: np.ndarray, start: np.ndarray, length: np.ndarray, flat: np.ndarray) -> None:
+    def _keep(self, kept: np.ndarray, keys: np.ndarray, checks: np.ndarray, start: np.ndarray, length: np.ndarray, flat: np.ndarray) -> None:
         n = length[kept]
         at = np.concatenate(([0], np.cumsum(n)))
         self.flat, self.used = flat[np.repeat(start[kept] - at[:-1], n) + np.arange(at[-1])], int(at[-1])
-        self.keys, self.start, self.length, self.again = keys[kept], at[:-1], n, np.zeros(len(n), bool)
+        self.keys, self.checks, self.start, self.length, self.again = keys[kept], checks[kept], at[:-1], n, np.zeros(len(n), bool)
 
-    def _learn(self, new: np.ndarray, parts: list[str]) -> None:
+    def _learn(self, new: np.ndarray, checks: np.ndarray, parts: list[str]) -> None:
         rows = [e.ids for at in range(0, len(parts), ENCODE_AT_ONCE) for e in self.tokenizer.encode_batch_fast(parts[at : at + ENCODE_AT_ONCE], add_special_tokens=False)]
         n = np.fromiter(map(len, rows), np.int64, len(rows))
         end = self.used + int(n.sum())
@@ -117,7 +117,14 @@ class Encoder:
         at = np.searchsorted(self.keys, new)
         self.start = np.insert(self.start, at, self.used + np.cumsum(n) - n)
         self.length, self.again = np.insert(self.length, at, n), np.insert(self.again, at, False)
-        self.keys, self.used = np.insert(self.keys, at, new), end
+        self.keys, self.checks, self.used = np.insert(self.keys, at, new), np.insert(self.checks, at, checks), end
+
+    def _whole(self, slab: Slab) -> Encoded:
+        """The library's ids of whole texts."""
+        raw, bounds = slab.data.tobytes(), slab.bounds.tolist()
+        rows = [self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        first = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+        return Encoded(np.fromiter(chain.from_iterable(rows), np.uint32, int(first[-1])), first.astype(np.int64))
 
     def encode_slab(self, slab: Slab) -> Encoded:
         cuts = part_bounds(slab)
@@ -130,24 +137,30 @@ class Encoder:
             spaces = np.concatenate(([0], np.cumsum(_IS_SPACE[slab.data])))
             text = np.flatnonzero(~_IS_SPACE[slab.data])
             begin = np.minimum(np.append(text, len(slab.data))[starts - spaces[starts]], ends)
-        names = span_hashes(slab.data, begin, ends, fold_case=self.folds)
+        names, checks = span_digests(slab.data, begin, ends, fold_case=self.folds)
         if self.folds and self.special:
             held = np.unique(np.searchsorted(starts, [m.start() for m in self.special.finditer(slab.data.tobytes())], "right") - 1)
-            names[held] = span_hashes(slab.data, begin[held], ends[held], fold_case=False) ^ _EXACT_KEY
+            names[held], checks[held] = span_digests(slab.data, begin[held], ends[held], fold_case=False)
+            names[held] ^= _EXACT_KEY
+            checks[held] ^= _EXACT_KEY
         keys, where, inverse = np.unique(names, return_index=True, return_inverse=True)
+        if (checks[where][inverse] != checks).any():
+            return self._whole(slab)
         at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
         known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        if (self.checks[at[known]] != checks[where[known]]).any():
+            return self._whole(slab)
         self.again[at[known]] = True
         if not known.all():
             raw, pick = slab.data.tobytes(), where[~known]
             missing = len(keys) - int(known.sum())
             if len(self.keys) + missing > self.memo_parts:
                 # Parts may be forgotten now, so all of this slab's are learnt.
-                self._keep(np.zeros(len(self.keys), bool) if self.again.sum() + missing > self.memo_parts else self.again, self.keys, self.start, self.length, self.flat)
+                self._keep(np.zeros(len(self.keys), bool) if self.again.sum() + missing > self.memo_parts else self.again, self.keys, self.checks, self.start, self.length, self.flat)
                 at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
                 known = self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
                 pick = where[~known]
-            self._learn(keys[~known], [raw[a:b].decode() for a, b in zip(begin[pick].tolist(), ends[pick].tolist(), strict=True)])
+            self._learn(keys[~known], checks[pick], [raw[a:b].decode() for a, b in zip(begin[pick].tolist(), ends[pick].tolist(), strict=True)])
             at = np.searchsorted(self.keys, keys)
         row = at[inverse]
         n = self.length[row]

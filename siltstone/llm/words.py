@@ -13,48 +13,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLAB_BYTES = 1 << 21
-_MUL = 0x9E3779B97F4A7C15
+_MUL = np.uint64(0x9E3779B97F4A7C15)
 _SHINGLE_MUL = 0xD6E8FEB86659FD93
+#: Spans of more bytes than this are hashed one by one, shorter ones eight bytes at a time side by side.
+_SHORT = 64
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _IS_TEXT = ~_IS_SPACE
 
 
-def _letters(fold_case: bool) -> np.ndarray:
-    """A fixed random 64-bit value for each byte; A-Z share those of a-z if case is folded."""
-    table = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    if fold_case:
-        table[65:91] = table[97:123]
-    return table
-
-
-_FOLDED, _EXACT = _letters(True), _letters(False)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-class _Powers:
-    """Powers of the hash multiplier and of its inverse, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.zeros(0, np.uint64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, SLAB_BYTES + (1 << 16)) + 1
-            grown = []
-            for base in (_MUL, pow(_MUL, -1, 2**64)):
-                x = np.full(size, base, np.uint64)
-                x[0] = 1
-                grown.append(np.cumprod(x, dtype=np.uint64))
-            self.up, self.down = grown
-        return self.up, self.down
-
-
-_POWERS = _Powers()
+_LOW_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -106,15 +82,35 @@ def slabs(column: pa.Array, limit: int = SLAB_BYTES) -> Iterator[Slab]:
         i = j
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case: bool = True) -> np.ndarray:
-    """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand."""
+def span_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of byte spans, as two numbers each; equal bytes give equal hashes wherever they stand.
+
+    Every eight bytes are taken in by a mixing step, so that no pattern of bytes cancels out, as it would in a
+    polynomial modulo a power of two.  The first numbers alone are 64-bit hashes.
+    """
     if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _POWERS.get(len(data) + 1)
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum((_FOLDED if fold_case else _EXACT)[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = LOWER[data] if fold_case else data
+    eight = np.ndarray(len(data) + 1, "<u8", padded.data, 0, (1,))  # the eight bytes from each place on
+    size = ends - starts
+    x = mix(size.astype(np.uint64))
+    y = x * np.uint64(_SHINGLE_MUL)
+    for at in range(0, _SHORT, 8):
+        row = np.flatnonzero((size > at) & (size <= _SHORT)) if at else slice(None)
+        if at and not len(row):
+            break
+        part = eight[starts[row] + at * (size[row] > at)] & _LOW_BYTES[np.clip(size[row] - at, 0, 8)]
+        x[row], y[row] = mix(x[row] ^ part), mix(y[row] + part * _MUL)
+    for i in np.flatnonzero(size > _SHORT).tolist():
+        whole = xxhash.xxh3_128_intdigest(padded.data[starts[i] : ends[i]])
+        x[i], y[i] = whole & 0xFFFFFFFFFFFFFFFF, whole >> 64
+    return x, y
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case: bool = True) -> np.ndarray:
+    """64-bit hashes of byte spans."""
+    return span_digests(data, starts, ends, fold_case)[0]
 
 
 @dataclass
@@ -179,10 +175,3 @@ def shingle_hashes(word_hashes: np.ndarray, first: np.ndarray, width: int) -> tu
         own = word_hashes[first[i] : first[i + 1]]
         out[out_first[i]] = (_rolled(own, len(own)) + np.uint64(len(own)))[0]
     return mix(out), out_first
-
-
-def binary_array(flat: np.ndarray, first: np.ndarray) -> pa.Array:
-    """The slices ``flat[first[i]:first[i + 1]]`` as one binary value each."""
-    flat = np.ascontiguousarray(flat)
-    offsets = np.ascontiguousarray(np.asarray(first, np.int64) * flat.itemsize)
-    return pa.Array.from_buffers(pa.large_binary(), len(first) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).cast(pa.binary())

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_words_tokens import word_lists
+from test_words_tokens import thue_morse, word_lists
 
 from siltstone.llm import ctw, decontamination, minhash, packing, records, sharding
 from siltstone.llm.tokens import encoder, vocabulary_path
@@ -67,6 +67,19 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, num, den, block):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_texts_of_one_pattern_are_different(spark):
+    x, y = thue_morse("a", "b")
+    rows = [(1, x), (2, y), (3, x), (4, f"one two three {x} five"), (5, f"one two three {y} five")]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(make(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}
+    scored = {r["doc_id"]: (r["n_known"], r["base_score"]) for r in ctw.score(make(spark, rows), F.col("doc_id").isin(2, 5), depth=2).collect()}
+    assert scored[1][0] == 2 and scored[2][0] == 1 and scored[5][0] == scored[4][0] - 1  # y is in no training text
+    bench = spark.createDataFrame([(7, x), (8, f"one two three {y} five")], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontamination.matches(make(spark, rows), bench).collect()}
+    assert found == {(1, 7), (3, 7), (4, 7), (5, 8)}
+    assert [len(f) for f in (minhash.flood([(np.array([1, 2], np.uint64), np.array([1, z], np.uint64)) for z in (2, w)], None, 32, 4, 5) for w in (2, 3))] == [1, 0]
+
+
 def test_near_duplicates_of_null_ids_and_nothing(spark):
     rows = [(None, "a b c d e f"), (3, "a b c d e f"), (None, "q r s")]
     got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(make(spark, rows)).collect()}
@@ -121,7 +134,7 @@ def test_the_flood_filter_keeps_what_is_similar():
             i = p[i]
         return i
 
-    for u, v in minhash.flood(sets, None, 32, 85, 100):
+    for u, v in minhash.flood([(s, s) for s in sets], None, 32, 85, 100):
         parent[root(parent, u)] = root(parent, v)
     for i in range(len(sets)):
         for j in range(i):
@@ -145,7 +158,7 @@ def test_the_flood_filter_asks_for_no_more_than_the_lists(num, den):
     common = len(np.intersect1d(*sets))
     union = len(np.union1d(*sets))
     num, den = common, union  # at exactly their similarity
-    assert [len(x) for x in minhash.flood(sets, None, k, num, den)] == [2]
+    assert [len(x) for x in minhash.flood([(s, s) for s in sets], None, k, num, den)] == [2]
 
 
 def test_packing(spark):

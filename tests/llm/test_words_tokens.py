@@ -85,6 +85,31 @@ def test_special_tokens_are_the_library_s(name, memo):
     run()
 
 
-def test_binary_array():
-    a = words.binary_array(np.array([1, 2, 3], np.uint32), np.array([0, 1, 1, 3]))
-    assert [len(x.as_py()) for x in a] == [4, 0, 8]
+def thue_morse(a, b, doublings=10):
+    x, y = a, b
+    for _ in range(doublings):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_patterns_do_not_collide():
+    for a, b in (("a", "b"), ("é", "è"), ("abcdefgh", "ijklmnop"), ("ab", "ba")):
+        for doublings in range(1, 14):
+            pair = thue_morse(a, b, doublings)
+            slab = next(words.slabs(pa.array(pair)))
+            x, y = words.span_digests(slab.data, slab.bounds[:-1], slab.bounds[1:])
+            assert x[0] != x[1] and y[0] != y[1]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+@pytest.mark.parametrize("weak", [False, True])
+def test_parts_that_share_half_a_hash_keep_their_ids(name, weak, monkeypatch):
+    if weak:  # many parts share their first 64 bits
+        strong = tokens.span_digests
+        monkeypatch.setattr(tokens, "span_digests", lambda *a, **k: (strong(*a, **k)[0] & np.uint64(7), strong(*a, **k)[1]))
+    path = tokens.vocabulary_path(name)
+    enc, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+    x, y = thue_morse("a", "b")
+    for texts in ([x], [y], [y, x], [f"one {x} two", f"one {y} two"], ["", "b", "a", "c d e f g h i j k l"]):
+        got = [e.ids[e.first[i] : e.first[i + 1]].tolist() for slab, e in enc.encode(pa.array(texts)) for i in range(len(slab))]
+        assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
