@@ -10,7 +10,9 @@ precision.
 A bucket is one group of work: its queries stand first, its vectors stream past
 them in batches, and only each query's ``k`` best vec_ids leave the task.  Buckets with
 more than ``TASK_ROWS`` vectors or queries are cut into parts, each pair of
-parts being a task, so that a hot bucket is spread and never gathered.  Queries
+parts being a task, so that a hot bucket is spread and never gathered.  A task
+compares ``CELLS`` pairs at once.  Vectors are moved in their stored type, once
+for each table, so few tables with many probes move least.  Queries
 that find fewer than ``k`` others look into every bucket of one table, so all
 candidates are returned where there are no more.
 
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.shared import write_table
 
 TASK_ROWS = 50_000
+#: Distances that a task holds at once.
+CELLS = 1 << 22
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -78,8 +82,9 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """The rows that take part, with embeddings as doubles, and their length."""
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null and embedding is not null and size(embedding) > 0")
+    """The rows that take part, with embeddings as floats or else doubles, and their length."""
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).where("vec_id is not null and embedding is not null and size(embedding) > 0")
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     rows = rows.where(good)
     top = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -142,8 +147,9 @@ def scan(batches: Iterator[pa.RecordBatch], dim: int, k: int) -> Iterator[pa.Rec
                 more = (ids[lo:hi], x[lo:hi])
                 queries = more if queries is None else tuple(np.concatenate(z) for z in zip(queries, more, strict=True))
             elif queries is not None:
-                for at in range(lo, hi, 2048):
-                    part = slice(at, min(hi, at + 2048))
+                step = max(1, min(2048, CELLS // len(queries[0])))
+                for at in range(lo, hi, step):
+                    part = slice(at, min(hi, at + step))
                     names, distance = _distinct(ids[part], _distances(queries[1], x[part]))
                     near = _nearest(names[None], queries[0], distance, k)
                     found, scores = names[near], np.take_along_axis(np.where(names[None] == queries[0][:, None], np.inf, distance), near, 1)
@@ -171,7 +177,8 @@ def _search(rows: DataFrame, queries: DataFrame, hashes: CrossPolytope, dim: int
 
         return run
 
-    schema = "vec_id long, embedding array<double>, buckets array<int>"
+    kind = rows.schema["embedding"].dataType.simpleString()
+    schema = f"vec_id long, embedding {kind}, buckets array<int>"
     stored = write_table(rows.mapInArrow(codes(1), schema), "hashed")
     asked = write_table(queries.mapInArrow(codes(probes), schema), "probes")
     parts = np.ones((2, buckets), np.int64)
@@ -198,7 +205,7 @@ def _search(rows: DataFrame, queries: DataFrame, hashes: CrossPolytope, dim: int
 
         return run
 
-    dealt = "task long, is_query boolean, vec_id long, embedding array<double>"
+    dealt = f"task long, is_query boolean, vec_id long, embedding {kind}"
     work = stored.mapInArrow(deal(0), dealt).unionByName(asked.mapInArrow(deal(1), dealt))
     work = work.repartition("task").sortWithinPartitions("task", F.desc("is_query"))
     found = work.mapInArrow(lambda b: scan(b, dim, k), "query_id long, vec_id long, score double")
@@ -207,7 +214,7 @@ def _search(rows: DataFrame, queries: DataFrame, hashes: CrossPolytope, dim: int
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = 16, probes: int = 6, seed: int = 7) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = 8, probes: int = 14, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for the rows that ``is_query`` holds for, among all rows."""
     rows, dim = usable(vectors)
     queries = rows.where(is_query)
