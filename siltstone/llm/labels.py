@@ -6,10 +6,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.shared import write_table
+
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column | None, limit: int) -> DataFrame:
-    """text and label (0 or 1) of about ``limit`` labelled documents at most, chosen by a hash of doc_id.
+    """text and label (0 or 1) of about ``limit`` labelled documents at most, chosen by a hash of doc_id; read once and written.
 
+    Of several texts of one doc_id the least counts, so repeated rows don't make the sample larger.
     ``train``: which rows of ``labels`` may be learnt from.  Labels that are
     null or not 0 or 1 are left out, as are repeated labels beyond the first
     of each value; the rows are few enough to be broadcast.
@@ -21,7 +24,9 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, train: Column | Non
     n = rows.count()
     if n > limit:
         rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(1_000_000 * limit / n))
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "label")
+    found = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    spread = found.repartition(docs.sparkSession.sparkContext.defaultParallelism)  # few bytes, but work for every core
+    return write_table(spread.select("text", "label"), "sample")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

@@ -97,7 +97,12 @@ def slab_statistics(slab: Slab) -> np.ndarray:
 
 
 def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns of documents and a column for each of STATS."""
+    """The ``keep`` columns of documents and a column for each of STATS, named ``stat_`` and its name."""
+    return _counted(docs, keep).select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)], *[f"stat_{s}" for s in STATS])
+
+
+def _counted(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The statistics beside the ``keep`` columns as kept_0, kept_1 and so on, so that no name clashes."""
     names = [f"stat_{s}" for s in STATS]
     sent = keep if "text" in keep else [*keep, "text"]
     at = sent.index("text")
@@ -110,7 +115,7 @@ def statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     narrow_batches(docs.sparkSession)
     schema = ", ".join([*(f"kept_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), *(f"{n} double" for n in names)])
-    return docs.select(*sent).mapInArrow(run, schema).select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)], *names)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 Rule = tuple[tuple[int, bool, float], ...]  #: (statistic, whether it must be over, bound), all of which hold
@@ -232,4 +237,4 @@ def scores(docs: DataFrame, ensemble: Ensemble) -> DataFrame:
 def drop_poor(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents with a score of ``threshold`` or more, learnt from all labels."""
     ensemble = learn(docs, labels)
-    return statistics(docs, docs.columns).where(ensemble.column() >= threshold).select(docs.columns)
+    return _counted(docs, docs.columns).where(ensemble.column() >= threshold).select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -8,8 +8,8 @@ entry's match.  A text's weight is normalised by its length, and a logistic
 curve makes it a probability.
 
 The lexicon, the exceptions and the curve are learnt from a bounded sample of
-labelled texts: occurrences of each word beginning are counted on executors;
-those far commoner in toxic texts (likelihood ratio over ``MIN_G2``) are kept,
+labelled texts, which is read once: occurrences of each word beginning of 3 to
+12 letters are counted on executors (longer words speak by their first 12); those far commoner in toxic texts (likelihood ratio over ``MIN_G2``) are kept,
 of entries that begin one another the more telling one.
 
 Defined results: null and empty texts have weight 0, and the curve's score for

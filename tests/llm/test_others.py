@@ -163,7 +163,11 @@ def test_classifiers(spark):
         assert np.mean([p == y for p, y in held]) > 0.97
     kept = toxicity.drop_toxic(docs, labels)
     assert kept.columns == docs.columns and 480 < kept.count() < 520
-    assert quality.drop_poor(docs, labels).columns == docs.columns
+    named = docs.withColumn("stat_log_bytes", F.lit(-5.0)).withColumn("kept_0", F.lit("x")).withColumn("score", F.lit(9)).withColumn("weight", F.lit("w"))
+    for drop in (quality.drop_poor, toxicity.drop_toxic):  # names that the operators use themselves
+        left = drop(named, labels)
+        assert left.columns == named.columns and 400 < left.count() < docs.count()
+        assert left.select("stat_log_bytes", "kept_0", "score", "weight").distinct().collect() == [(-5.0, "x", 9, "w")]
 
 
 def test_every_telling_term_and_phrase_is_learnt(spark):
