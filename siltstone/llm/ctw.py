@@ -16,12 +16,16 @@ A context without training decisions adds nothing: its longest seen suffix
 speaks for it.  Where no context was seen the probability is 1/2.
 
 Nothing of the corpus is broadcast but the tables of contexts of 0 and 1 byte
-(257 x 255 decisions at most).  Texts are dealt into chunks.  A chunk sends its
-distinct (context, byte) codes and words, in packed buckets, to where the
-corpus counts of each bucket are, gets their probabilities back, and scores its
-own texts with them.  What is moved grows with the input and no table has to
-fit one machine.  A bucket is merged by groups of ``CHUNKS_A_TASK`` chunks
-first, so that no task gathers it from all chunks at once.
+(257 x 255 decisions at most).  Input partitions are cut into chunks of bounded
+text where they are read.  A chunk sends its distinct (context, byte) codes and
+words, in packed buckets, to where the corpus counts of each bucket are, gets
+their probabilities back, and scores its own texts with them: only that moves
+texts, once.  Buckets become more with the input.  Those of all chunks are
+merged by groups of ``CHUNKS_A_TASK``, as often as it takes.  What is asked of a
+bucket is split into parts of at least ``ASKED_AT_ONCE`` keys or the bucket's own
+number; so the copies of a bucket that the parts need hold no more keys than are
+asked for, what is moved grows with the input alone, and a hot context is spread.
+No table has to fit one machine.
 
 The base score is that of word unigrams with add-1/2 smoothing.  Words are told
 apart by 64-bit hashes.
@@ -40,15 +44,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import partitions_for, write_table
+from siltstone.llm.shared import narrow_batches, partitions_for, write_table
 from siltstone.llm.words import LOWER, Slab, mix, slabs, span_hashes, words
 
 SPACE, END = 0x20, 0x0A
-BUCKETS = 256
+BUCKETS, MOST_BUCKETS = 256, 1 << 16
 CHUNKS_A_TASK = 64
+CHUNK_BYTES = 64 << 20
+ASKED_AT_ONCE = 4 << 20
 #: Key of the end among words; no word has it, since no word is empty.
 END_KEY = int(mix(np.zeros(1, np.uint64)).view(np.int64)[0])
 _LOG2 = np.log(2.0)
@@ -257,7 +264,7 @@ def _counted(keys: np.ndarray, first: np.ndarray, train: np.ndarray) -> list[tup
     return [(seen, n), (other, np.zeros(len(other), np.int64))]
 
 
-CODE, WORD = 0, 1
+CODE, WORD, TEXT = 0, 1, 2
 
 
 def pack_numbers(x: np.ndarray) -> bytes:
@@ -286,31 +293,49 @@ def bucket_of(kind: int, keys: np.ndarray, depth: int, buckets: int) -> np.ndarr
     return (mix(keys >> np.uint64(8 * (depth - 1))) if kind == CODE else keys >> np.uint64(32)) % np.uint64(buckets)
 
 
-def chunk_keys(table: pa.Table, depth: int, buckets: int) -> pa.Table:
-    """The distinct codes and words of a chunk with their counts in its training texts, a row for each bucket."""
-    chunk = table["chunk"][0].as_py()
-    train = table["train"].combine_chunks().to_numpy(zero_copy_only=False).astype(bool)
-    out: dict[int, list] = {CODE: [], WORD: []}
-    for slab in slabs(table["text"]):
-        own = train[slab.first : slab.first + len(slab)]
-        out[CODE] += _counted(*_scored(slab, depth), own)
-        out[WORD] += _counted(*_word_keys(slab), own)
-        for parts in out.values():
-            if len(parts) > 16:
-                parts[:] = [_merge(parts)]
-    rows = []
+def chunk_keys(chunk: int, out: dict[int, list], depth: int, buckets: int) -> Iterator[tuple]:
+    """Rows (chunk, kind, bucket, asked, keys, n) of the distinct codes and words of a chunk with their counts in its training texts."""
     for kind, parts in out.items():
         keys, n = _merge(parts)
         bucket = bucket_of(kind, keys, depth, buckets)
         order = np.argsort(bucket, kind="stable")
-        at = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for i, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-            if hi > lo:
-                rows.append((chunk, kind, i, pack_keys(keys[order[lo:hi]]), pack_numbers(n[order[lo:hi]])))
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), KEYS_TYPES, strict=True)], ["chunk", "kind", "bucket", "keys", "n"])
+        at = np.flatnonzero(np.diff(bucket[order], prepend=np.uint64(buckets)))
+        for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=True):
+            yield chunk, kind, int(bucket[order[lo]]), hi - lo, pack_keys(keys[order[lo:hi]]), pack_numbers(n[order[lo:hi]])
+
 
+def read_chunks(batches: Iterator[pa.RecordBatch], depth: int, buckets: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """From rows (doc_id, text, train): the same with their chunks, as kind ``TEXT``, and each chunk's keys; ``limit``: bytes of text a chunk."""
+    chunk, size = TaskContext.get().partitionId() << 32, 0
+    out: dict[int, list] = {CODE: [], WORD: []}
 
-KEYS_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    def closed(like: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [pa.array(c, t) for c, t in zip(zip(*chunk_keys(chunk, out, depth, buckets), strict=True), KEYS_TYPES, strict=True)]
+        return pa.RecordBatch.from_arrays([*rows, *(pa.nulls(len(rows[0]), c.type) for c in like.columns)], [*KEYS_NAMES, *like.schema.names])
+
+    batch = None
+    for batch in batches:
+        train = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+        for slab in slabs(batch.column(1)):
+            if size and size + len(slab.data) > limit:
+                yield closed(batch)
+                chunk, size, out = chunk + 1, 0, {CODE: [], WORD: []}
+            own = train[slab.first : slab.first + len(slab)]
+            out[CODE] += _counted(*_scored(slab, depth), own)
+            out[WORD] += _counted(*_word_keys(slab), own)
+            for parts in out.values():
+                if len(parts) > 16:
+                    parts[:] = [_merge(parts)]
+            size += len(slab.data) + len(slab)
+            part = batch.slice(slab.first, len(slab))
+            blank = [pa.array([x] * len(slab), t) for x, t in zip((chunk, TEXT, None, None, None, None), KEYS_TYPES, strict=True)]
+            yield pa.RecordBatch.from_arrays([*blank, *part.columns], [*KEYS_NAMES, *batch.schema.names])
+    if size:
+        yield closed(batch)
+
+
+KEYS_NAMES = ["chunk", "kind", "bucket", "asked", "keys", "n"]
+KEYS_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
 
 
 def merge_rows(table: pa.Table) -> pa.Table:
@@ -318,7 +343,7 @@ def merge_rows(table: pa.Table) -> pa.Table:
     parts = [(unpack_keys(k), unpack_numbers(n)) for k, n in zip(table["keys"].to_pylist(), table["n"].to_pylist(), strict=True)]
     keys, n = _merge(parts)
     first = table.slice(0, 1)
-    return pa.table({"kind": first["kind"], "bucket": first["bucket"], "part": first["part"], "learnt": [int((n > 0).sum())], "keys": pa.array([pack_keys(keys)], pa.binary()), "n": pa.array([pack_numbers(n)], pa.binary())})
+    return pa.table({"kind": first["kind"], "bucket": first["bucket"], "part": first["part"], "held": [len(keys)], "learnt": [int((n > 0).sum())], "keys": pa.array([pack_keys(keys)], pa.binary()), "n": pa.array([pack_numbers(n)], pa.binary())})
 
 
 def look_up(asked: pa.Table, known: pa.Table) -> pa.Table:
@@ -351,24 +376,37 @@ def score_chunk(texts: pa.Table, values: pa.Table, depth: int) -> pa.Table:
     return pa.table({"doc_id": texts["doc_id"], "train": texts["train"], "n_tokens": tokens, "n_known": known, "log_counts": base, "score": score})
 
 
+def _cogrouped(left: DataFrame, right: DataFrame, keys: list[str], least: int):
+    """Both sides grouped by keys, in as many tasks as the session has or ``least``."""
+    n = max(least, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return left.repartition(n, *keys).groupBy(*keys).cogroup(right.repartition(n, *keys).groupBy(*keys))
+
+
 def score(docs: DataFrame, held_out: Column, depth: int = 5, chunk_bytes: int = 24 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: log10 probabilities of all texts.
 
     The model and the base learn from the rows for which ``held_out`` is false.
-    ``depth``: bytes of context, 2 to 7.  ``chunk_bytes``: stored input bytes a chunk.
+    ``depth``: bytes of context, 2 to 7.  ``chunk_bytes``: stored input bytes for
+    which four buckets are made.
     """
     if not 2 <= depth <= 7:
         raise ValueError("depth must be 2 to 7")
-    chunks = partitions_for(docs, chunk_bytes)
-    parts, buckets = -(-chunks // CHUNKS_A_TASK), BUCKETS
-    dealt = docs.select("doc_id", "text", (~F.coalesce(held_out, F.lit(False))).alias("train"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).alias("chunk"))
-    found = dealt.groupBy("chunk").applyInArrow(lambda t: chunk_keys(t, depth, buckets), "chunk long, kind int, bucket int, keys binary, n binary")
-    found = write_table(found.withColumn("part", F.pmod("chunk", F.lit(parts)).cast("int")), "keys")
-    merged = "kind int, bucket int, part int, learnt long, keys binary, n binary"
-    counts = found.select("kind", "bucket", "part", "keys", "n").groupBy("kind", "bucket", "part").applyInArrow(merge_rows, merged)
-    if parts > 1:
-        counts = counts.groupBy("kind", "bucket").applyInArrow(merge_rows, merged)
-    counts = write_table(counts.select("kind", "bucket", "learnt", "keys", "n"), "counts")
+    narrow_batches(docs.sparkSession)
+    limit = CHUNK_BYTES
+    buckets = min(MOST_BUCKETS, max(BUCKETS, 4 * partitions_for(docs, chunk_bytes)))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", "text", (~F.coalesce(held_out, F.lit(False))).alias("train"))
+    read = write_table(rows.mapInArrow(lambda b: read_chunks(b, depth, buckets, limit), f"chunk long, kind int, bucket int, asked long, keys binary, n binary, doc_id {id_type}, text string, train boolean"), "chunks")
+    texts, found = read.where(f"kind = {TEXT}").select("chunk", "doc_id", "text", "train"), read.where(f"kind <> {TEXT}")
+    chunks = found.agg(F.count_distinct("chunk")).first()[0]
+    parts = max(1, -(-chunks // CHUNKS_A_TASK))
+    merged = "kind int, bucket int, part int, held long, learnt long, keys binary, n binary"
+    counts = found.select("kind", "bucket", F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int").alias("part"), "keys", "n")
+    counts = counts.groupBy("kind", "bucket", "part").applyInArrow(merge_rows, merged)
+    while parts > 1:
+        parts = -(-parts // CHUNKS_A_TASK)
+        counts = write_table(counts, "merged").withColumn("part", (F.col("part") % parts).cast("int")).groupBy("kind", "bucket", "part").applyInArrow(merge_rows, merged)
+    counts = write_table(counts.select("kind", "bucket", "held", "learnt", "keys", "n"), "counts")
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, np.ndarray, np.ndarray]]:
         for batch in batches:
@@ -396,12 +434,15 @@ def score(docs: DataFrame, held_out: Column, depth: int = 5, chunk_bytes: int =
             yield pa.RecordBatch.from_arrays([pa.array([row["kind"]], pa.int32()), pa.array([row["bucket"]], pa.int32()), pa.array([row["keys"]], pa.binary()), pa.array([pack_numbers(value)], pa.binary())], ["kind", "bucket", "keys", "value"])
 
     values = counts.repartition("kind", "bucket").mapInArrow(predict, "kind int, bucket int, keys binary, value binary")
-    values = values.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    key = ["kind", "bucket", "part"]
-    returned = found.select("chunk", "keys", *key).groupBy(*key).cogroup(values.groupBy(*key)).applyInArrow(look_up, "chunk long, kind int, keys binary, value binary")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    asked = found.groupBy("kind", "bucket").agg(F.sum("asked").alias("asked")).join(counts.select("kind", "bucket", "held"), ["kind", "bucket"])
+    split = write_table(asked.select("kind", "bucket", F.ceil(F.col("asked") / F.greatest("held", F.lit(ASKED_AT_ONCE))).cast("int").alias("parts"), "asked"), "split")  # a row for each bucket, 2 * MOST_BUCKETS at most
+    steps = split.agg(F.coalesce(F.sum("asked"), F.lit(0))).first()[0] // ASKED_AT_ONCE
+    values = values.join(F.broadcast(split.drop("asked")), ["kind", "bucket"]).select("kind", "bucket", "keys", "value", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    asking = found.select("chunk", "kind", "bucket", "keys").join(F.broadcast(split.drop("asked")), ["kind", "bucket"])
+    asking = asking.select("chunk", "kind", "bucket", F.pmod(F.xxhash64("chunk"), F.col("parts")).cast("int").alias("part"), "keys")
+    returned = _cogrouped(asking, values, ["kind", "bucket", "part"], steps).applyInArrow(look_up, "chunk long, kind int, keys binary, value binary")
     schema = f"doc_id {id_type}, train boolean, n_tokens long, n_known long, log_counts double, score double"
-    scored = dealt.groupBy("chunk").cogroup(returned.groupBy("chunk")).applyInArrow(lambda x, y: score_chunk(x, y, depth), schema)
+    scored = _cogrouped(texts, returned, ["chunk"], chunks).applyInArrow(lambda x, y: score_chunk(x, y, depth), schema)
     scored = write_table(scored, "scores")
     total = scored.where("train").agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     distinct = counts.where(f"kind = {WORD}").agg(F.coalesce(F.sum("learnt"), F.lit(0))).first()[0]

@@ -310,6 +310,50 @@ def test_context_tree_equals_recursion():
     assert np.allclose(up[0].share, levels[0].share) and np.allclose(up[1].share, levels[1].share)
 
 
+def test_scores_equal_the_recursion_from_text_to_score(spark, monkeypatch):
+    monkeypatch.setattr(ctw, "CHUNK_BYTES", 40)
+    monkeypatch.setattr(ctw, "ASKED_AT_ONCE", 20)
+    rows = [(1, "ab Abc"), (2, "abc  ab ab"), (3, None), (4, "ab é"), (5, "zq ab"), (6, "ab Abc"), (None, "abé")]
+    held, depth = {2, 5}, 2
+    streams = [b"\n" * depth + b"".join(x + b" " for x in w) + b"\n" for w in word_lists([t for _, t in rows])]
+    count = {}
+
+    def decisions(stream, at):
+        bits = [(stream[at] >> (7 - j)) & 1 for j in range(8)]
+        return [(tuple(bits[:j]), b) for j, b in enumerate(bits)], stream[at - depth : at][::-1]
+
+    for (doc, _), stream in zip(rows, streams, strict=True):
+        for at in range(depth, len(stream)) if doc not in held else ():
+            made, before = decisions(stream, at)
+            for d in range(depth + 1):
+                for node, bit in made:
+                    count.setdefault((before[:d], node), [0, 0])[bit] += 1
+
+    def pe(c):
+        return math.exp(math.lgamma(c[0] + 0.5) + math.lgamma(c[1] + 0.5) - math.lgamma(sum(c) + 1) - math.log(math.pi))
+
+    def pw(ctx, node):
+        below = [pw(ctx + bytes([c]), node) for c in range(256) if (ctx + bytes([c]), node) in count] if len(ctx) < depth else []
+        return 0.5 * pe(count[ctx, node]) + 0.5 * math.prod(below) if len(ctx) < depth else pe(count[ctx, node])
+
+    def predict(before, d, node, bit):
+        c = count.get((before[:d], node))
+        if c is None:
+            return 0.5
+        own = (c[bit] + 0.5) / (sum(c) + 1)
+        if d == depth or (before[: d + 1], node) not in count:
+            return own
+        w = 0.5 * pe(c) / pw(before[:d], node)
+        return w * own + (1 - w) * predict(before, d + 1, node, bit)
+
+    want = {}
+    for (doc, _), stream in zip(rows, streams, strict=True):
+        steps = [decisions(stream, at) for at in range(depth, len(stream))]
+        want[doc] = sum(math.log10(predict(before, 0, node, bit)) for made, before in steps for node, bit in made)
+    got = {r["doc_id"]: r["score"] for r in ctw.score(make(spark, rows).repartition(2), F.col("doc_id").isin(*held), depth=depth).collect()}
+    assert got == {k: pytest.approx(v, rel=1e-5) for k, v in want.items()}
+
+
 def test_large_counts_use_stirling():
     n = np.array([65535, 65536, 70000, 3_000_000])
     assert np.allclose(ctw._log_half(n), [math.lgamma(x + 0.5) - math.lgamma(0.5) for x in n], rtol=1e-12)
@@ -321,6 +365,8 @@ def test_scores(spark, monkeypatch, chunks):
     monkeypatch.setattr(ctw, "CHUNKS_A_TASK", 2)
     monkeypatch.setattr(ctw, "partitions_for", lambda df, target: chunks)
     monkeypatch.setattr(ctw, "BUCKETS", 16)
+    monkeypatch.setattr(ctw, "CHUNK_BYTES", 64 << 20 if chunks == 1 else 2000)
+    monkeypatch.setattr(ctw, "ASKED_AT_ONCE", 4 << 20 if chunks == 1 else 100)  # buckets are split into parts
     rows = corpus()
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
     got = ctw.score(make(spark, rows), held, depth=3).collect()
@@ -334,6 +380,7 @@ def test_scores(spark, monkeypatch, chunks):
     once = {r["doc_id"]: r["score"] for r in got}
     if chunks > 1:  # the deal into chunks does not change scores
         monkeypatch.setattr(ctw, "partitions_for", lambda df, target: 1)
+        monkeypatch.setattr(ctw, "CHUNK_BYTES", 64 << 20)
         whole = {r["doc_id"]: r["score"] for r in ctw.score(make(spark, rows), held, depth=3).collect()}
         assert all(once[k] == pytest.approx(whole[k], rel=1e-5) for k in whole)
     assert ctw.score(make(spark, []), held, depth=3).count() == 0
