@@ -13,6 +13,11 @@ of ``SEGMENT`` turns: each segment's matrix is made on its own, the states at
 segment borders follow from the matrices alone, and segments are then repaired
 and rendered on their own.  No task holds a whole conversation's texts.
 
+Turns are range-partitioned once, sorted within.  A conversation that begins and
+ends within a partition, and has one segment, is repaired and rendered there and
+then.  Only what stands at a partition's edge, or is longer than a segment, waits
+for its borders and moves again.
+
 Rendering gives each row its piece of the conversation's text; pieces joined in
 the order of (segment, place, part) are the rendered conversation.
 
@@ -35,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.shared import partitions_for, write_table
+from siltstone.llm.shared import narrow_batches, partitions_for, write_table
 
 ROLES = ["system", "user", "assistant"]
 START, AFTER_SYSTEM, AFTER_USER, AFTER_ASSISTANT = range(4)
@@ -178,52 +183,102 @@ def rendered_rows(turns: list, texts: list[str], moves: list[Move], last: bool)
     return rows
 
 
+ROWS = ["conv_id", "segment", "place", "part", "turn", "action", "role", "cost", "rendered"]
+DONE, TURN, SEGMENT_OF = 0, 1, 2
+
+
+class _Rows:
+    """Rows of the result, and of what waits, gathered by columns and given out in batches of bounded size."""
+
+    NAMES = ["kind", *ROWS, "matrix"]
+
+    def __init__(self, conv_type: pa.DataType, turn_type: pa.DataType) -> None:
+        self.types = [pa.int32(), conv_type, pa.int64(), pa.int32(), pa.int32(), turn_type, pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.int64())]
+        self.rows: list[tuple] = []
+        self.size = 0
+
+    def add(self, kind: int, conv, segment: int, rows: list[tuple], matrix: list | None = None) -> None:
+        self.rows += [(kind, conv, segment, *row, matrix) for row in rows]
+        self.size += sum(len(row[-1] or "") + 100 for row in rows)
+
+    def full(self) -> bool:
+        return self.size > 1 << 22
+
+    def take(self) -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*self.rows, strict=True), self.types, strict=True)], self.NAMES)
+        self.rows, self.size = [], 0
+        return out
+
+
+def _read(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """From sorted rows (conv_id, turn, role, text): rows of the result, and turns and matrices of what must wait."""
+    segment, first = TaskContext.get().partitionId() << 32, True  # first: the conversation may have begun before this partition
+    rows, conv, held = None, None, []
+    several = False
+
+    def close(last: bool) -> None:
+        """End a segment; ``last``: its conversation ends here, within the partition."""
+        roles = [known_role(r) for _, r, _ in held]
+        turns, texts = [t for t, _, _ in held], [x for _, _, x in held]
+        if last and not first and not several:
+            end = int((segment_matrix(roles)[START] + np.array(END_COSTS)).argmin())
+            rows.add(DONE, conv, segment, rendered_rows(turns, texts, repair(roles, START, end), True))
+        else:
+            rows.add(TURN, conv, segment, [(k, None, turn, None, role, None, text) for k, (turn, role, text) in enumerate(held)])
+            rows.add(SEGMENT_OF, conv, segment, [(None,) * 7], segment_matrix(roles).reshape(-1).tolist())
+
+    for batch in batches:
+        if rows is None:
+            rows = _Rows(batch.schema.field(0).type, batch.schema.field(1).type)
+        for c, turn, role, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if held and (c != conv or len(held) == limit):
+                close(c != conv)
+                first, several = first and c == conv, c == conv
+                segment, held = segment + 1, []
+            conv = c
+            held.append((turn, role, text))
+            if rows.full():
+                yield rows.take()
+    if held:
+        close(False)  # the conversation may go on in the next partition
+    if rows is not None and rows.rows:
+        yield rows.take()
+
+
+def _states(table: pa.Table) -> pa.Table:
+    """The states at the borders of a conversation's segments."""
+    table = table.sort_by("segment")
+    states = border_states([np.array(m).reshape(4, 4) for m in table["matrix"].to_pylist()])
+    n = table.num_rows
+    return pa.table({"segment": table["segment"], "start": pa.array(states[:-1], pa.int32()), "end": pa.array(states[1:], pa.int32()), "last": pa.array([i == n - 1 for i in range(n)])})
+
+
+def _render(table: pa.Table) -> pa.Table:
+    """A segment that had to wait."""
+    table = table.sort_by("place")
+    conv, segment, start, end, last = (table[c][0].as_py() for c in ("conv_id", "segment", "start", "end", "last"))
+    moves = repair([known_role(r) for r in table["role"].to_pylist()], start, end)
+    rows = _Rows(table.schema.field("conv_id").type, table.schema.field("turn").type)
+    rows.add(DONE, conv, segment, rendered_rows(table["turn"].to_pylist(), table["rendered"].to_pylist(), moves, last))
+    return pa.Table.from_batches([rows.take()]).select(ROWS)
+
+
 def format_chats(conversations: DataFrame) -> DataFrame:
     """conv_id, segment, place, part, turn, action, role, cost, rendered: every turn as repaired, and the messages put in.
 
     segment orders the pieces of a conversation; turn is null for messages put in.
     """
+    spark = conversations.sparkSession
+    narrow_batches(spark)
     key = conversations.schema["conv_id"].dataType.simpleString()
     kind = conversations.schema["turn"].dataType.simpleString()
+    result = f"conv_id {key}, segment long, place int, part int, turn {kind}, action string, role string, cost int, rendered string"
     rows = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     order = ["conv_id", "turn", "role", "text"]
-    ranged = rows.repartitionByRange(partitions_for(conversations, 8 << 20), *order).sortWithinPartitions(*order)
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, segment, place, before = TaskContext.get().partitionId() << 32, -1, 0, None
-        for batch in batches:
-            at = []
-            for conv in batch.column(0).to_pylist():
-                if segment < 0 or conv != before or place == SEGMENT:
-                    segment, place, before = segment + 1, 0, conv
-                at.append((part + segment, place))
-                place += 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in at], pa.int64()), pa.array([x for _, x in at], pa.int32())], [*batch.schema.names, "segment", "place"])
-
-    turns = write_table(ranged.mapInArrow(number, f"conv_id {key}, turn {kind}, role string, text string, segment long, place int"), "turns")
-
-    def measure(table: pa.Table) -> pa.Table:
-        roles = [known_role(r) for r in table.sort_by("place")["role"].to_pylist()]
-        return pa.table({"conv_id": table["conv_id"].slice(0, 1), "segment": table["segment"].slice(0, 1), "matrix": pa.array([segment_matrix(roles).reshape(-1)], pa.list_(pa.int64()))})
-
-    def borders(table: pa.Table) -> pa.Table:
-        table = table.sort_by("segment")
-        states = border_states([np.array(m).reshape(4, 4) for m in table["matrix"].to_pylist()])
-        n = table.num_rows
-        return pa.table({"segment": table["segment"], "start": pa.array(states[:-1], pa.int32()), "end": pa.array(states[1:], pa.int32()), "last": pa.array([i == n - 1 for i in range(n)])})
-
-    measured = turns.select("conv_id", "segment", "place", "role").groupBy("segment").applyInArrow(measure, f"conv_id {key}, segment long, matrix array<long>")
-    states = measured.groupBy("conv_id").applyInArrow(borders, "segment long, start int, end int, last boolean")
-
-    def render(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
-        first = {c: table[c][0].as_py() for c in ("conv_id", "segment", "start", "end", "last")}
-        moves = repair([known_role(r) for r in table["role"].to_pylist()], first["start"], first["end"])
-        rows = rendered_rows(table["turn"].to_pylist(), table["text"].to_pylist(), moves, first["last"])
-        columns = list(zip(*rows, strict=True))
-        n = len(rows)
-        types = [pa.int32(), pa.int32(), table.schema.field("turn").type, pa.string(), pa.string(), pa.int32(), pa.string()]
-        made = {name: pa.array(c, t) for name, c, t in zip(("place", "part", "turn", "action", "role", "cost", "rendered"), columns, types, strict=True)}
-        return pa.table({"conv_id": pa.array([first["conv_id"]] * n, table.schema.field("conv_id").type), "segment": pa.array([first["segment"]] * n, pa.int64()), **made})
-
-    return turns.join(states, "segment").groupBy("segment").applyInArrow(render, f"conv_id {key}, segment long, place int, part int, turn {kind}, action string, role string, cost int, rendered string")
+    ranged = rows.repartitionByRange(max(partitions_for(conversations, 8 << 20), spark.sparkContext.defaultParallelism), *order).sortWithinPartitions(*order)
+    limit = SEGMENT
+    read = write_table(ranged.mapInArrow(lambda b: _read(b, limit), f"kind int, {result}, matrix array<long>"), "turns")
+    waiting = read.where(f"kind = {TURN}").select("conv_id", "segment", "place", "turn", "role", "rendered")
+    states = read.where(f"kind = {SEGMENT_OF}").select("conv_id", "segment", "matrix").groupBy("conv_id").applyInArrow(_states, "segment long, start int, end int, last boolean")
+    late = waiting.join(states, "segment").groupBy("segment").applyInArrow(_render, result)
+    return read.where(f"kind = {DONE}").select(*ROWS).unionByName(late)
