@@ -9,12 +9,18 @@ most one apart; a larger ``epsilon`` moves fewer rows when shards change.
 
 Only the number of rows of each arc (shards x vnodes numbers) reaches the
 driver, which plans where the overflow of each arc goes.  Rows get their shard
-and slot by their rank within their arc.
+and slot by their rank within their arc.  The key of a row is its doc_id with
+the size and checksum of its text, so rows of one doc_id, or of none, spread
+over the ring; equal rows, of which there may be any number, are counted first,
+ranked as one and told apart again in blocks.
+
+Rows of equal texts have places of their own: the law is that of numbers of
+rows, which no group of copies may upset.
 
 Defined results: a null text has 0 bytes, so size 8, and crc32 0; a null key
-hashes like any value; rows with equal keys stand together on the ring and are
-ordered by size and crc32, equal rows in any order; an empty table gives no
-rows.  Only ``doc_id`` and ``text`` are read.
+hashes like any value; within an arc rows are ordered by place, doc_id, size and
+checksum, equal rows in any order; an empty table gives no rows.  Only
+``doc_id`` and ``text`` are read.
 """
 
 from __future__ import annotations
@@ -30,6 +36,10 @@ from pyspark.sql import functions as F
 from siltstone.llm.shared import write_table
 
 
+#: Equal rows that are told apart at once.
+BLOCK = 1 << 16
+
+
 def ring(shards: int, vnodes: int) -> tuple[np.ndarray, np.ndarray]:
     """Points of the ring in order, as signed 64-bit integers, and the shard of each."""
     points = sorted((int.from_bytes(hashlib.blake2b(f"{s}/{v}".encode(), digest_size=8).digest(), "little", signed=True), s) for s in range(shards) for v in range(vnodes))
@@ -73,16 +83,17 @@ def assign(docs: DataFrame, shards: int, vnodes: int = 512, epsilon: float = 0.0
 
     def arcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(3).to_numpy()
-            arc = np.searchsorted(points, at) % len(points)
+            arc = np.searchsorted(points, batch["at"].to_numpy()) % len(points)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(arc.astype(np.int32))], [*batch.schema.names, "arc"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64("doc_id").alias("at"))
-    rows = write_table(rows.mapInArrow(arcs, f"doc_id {kind}, size long, text_crc32 long, at long, arc int"), "arcs")
+    key = ["doc_id", "size", "text_crc32"]
+    rows = docs.select("doc_id", (F.octet_length(text).cast("long") + 8).alias("size"), F.crc32(text).alias("text_crc32"))
+    rows = rows.groupBy(*key).agg(F.count("*").alias("n")).select(*key, "n", F.xxhash64(*key).alias("at"))
+    rows = write_table(rows.mapInArrow(arcs, f"doc_id {kind}, size long, text_crc32 long, n long, at long, arc int"), "arcs")
     count = np.zeros(len(points), np.int64)
-    for r in rows.groupBy("arc").agg(F.count("*").alias("n")).collect():  # at most shards x vnodes rows
+    for r in rows.groupBy("arc").agg(F.sum("n").alias("n")).collect():  # at most shards x vnodes rows
         count[r["arc"]] = r["n"]
     segments = plan_arcs(count, owner, capacities(int(count.sum()), shards, epsilon))
 
@@ -90,8 +101,18 @@ def assign(docs: DataFrame, shards: int, vnodes: int = 512, epsilon: float = 0.0
         for batch in batches:
             arc, rank = batch["arc"].to_numpy().astype(np.int64), batch["rank"].to_numpy().astype(np.int64)
             row = segments[np.searchsorted(segments[:, 0], arc << 40 | rank, "right") - 1]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(row[:, 2].astype(np.int32)), pa.array(row[:, 3] + rank - row[:, 1])], ["doc_id", "size", "text_crc32", "shard", "slot"])
-
-    on_arc = Window.partitionBy("arc").orderBy("at", "doc_id", "size", "text_crc32")
-    ranked = rows.select("doc_id", "size", "text_crc32", "arc", (F.row_number().over(on_arc).cast("long") - 1).alias("rank"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(row[:, 2].astype(np.int32)), pa.array(row[:, 3] + rank - row[:, 1])], [*key, "shard", "slot"])
+
+    on_arc = Window.partitionBy("arc").orderBy("at", *key).rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.withColumn("rank", F.coalesce(F.sum("n").over(on_arc), F.lit(0)))
+    ranked = _copies(first.where(F.col("n") <= BLOCK))
+    if not rows.where(F.col("n") > BLOCK).isEmpty():
+        blocks = first.where(F.col("n") > BLOCK).select(*key, "arc", "n", "rank", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(BLOCK).cast("long"))).alias("from"))
+        spread = blocks.repartition(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1))
+        ranked = ranked.unionByName(_copies(spread.withColumn("rank", F.col("rank") + F.col("from")).withColumn("n", F.least(F.lit(BLOCK).cast("long"), F.col("n") - F.col("from")))))
     return ranked.mapInArrow(place, f"doc_id {kind}, size long, text_crc32 long, shard int, slot long")
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """Each of n equal rows with its own rank."""
+    return rows.select("doc_id", "size", "text_crc32", "arc", F.explode(F.sequence("rank", F.col("rank") + F.col("n") - 1)).alias("rank"))
