@@ -355,16 +355,11 @@ def look_up(asked: pa.Table, known: pa.Table) -> pa.Table:
     return pa.table({"chunk": asked["chunk"], "kind": asked["kind"], "keys": asked["keys"], "value": pa.array(found, pa.binary())})
 
 
-def score_chunk(texts: pa.Table, values: pa.Table, depth: int) -> pa.Table:
-    """Scores of a chunk's texts from the values of its keys."""
+def score_texts(texts: pa.RecordBatch, code: Table, word: Table, depth: int) -> pa.RecordBatch:
+    """Scores of texts (doc_id, text, train) from the values of their chunk's codes and words."""
     n = texts.num_rows
-    tables = []
-    for kind in (CODE, WORD):
-        rows = [r for r in zip(values["kind"].to_pylist(), values["keys"].to_pylist(), values["value"].to_pylist(), strict=True) if r[0] == kind]
-        tables.append(Table(np.concatenate([unpack_keys(r[1]) for r in rows]), np.concatenate([unpack_numbers(r[2]) for r in rows])) if n else None)
-    code, word = tables
     score, base, tokens, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for slab in slabs(texts["text"]) if n else ():
+    for slab in slabs(texts.column(1)):
         at = slice(slab.first, slab.first + len(slab))
         keys, first = _scored(slab, depth)
         score[at] = np.add.reduceat(code.get(keys).astype(float), first[:-1])
@@ -373,7 +368,26 @@ def score_chunk(texts: pa.Table, values: pa.Table, depth: int) -> pa.Table:
         base[at] = np.add.reduceat(np.log10(count + 0.5), first[:-1])
         known[at] = np.add.reduceat((count > 0).astype(np.int64), first[:-1])
         tokens[at] = np.diff(first)
-    return pa.table({"doc_id": texts["doc_id"], "train": texts["train"], "n_tokens": tokens, "n_known": known, "log_counts": base, "score": score})
+    return pa.RecordBatch.from_arrays([texts.column(0), texts.column(2), *map(pa.array, (tokens, known, base, score))], ["doc_id", "train", "n_tokens", "n_known", "log_counts", "score"])
+
+
+def score_chunks(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """From rows (chunk, kind, keys, value, doc_id, text, train) sorted by chunk, its values before its texts: scores."""
+    now, tables, parts = None, None, {CODE: [], WORD: []}
+    for batch in batches:
+        chunk, text = batch.column(0).to_numpy(), batch.column(1).to_numpy() == TEXT
+        edges = np.flatnonzero(np.concatenate(([True], (chunk[1:] != chunk[:-1]) | (text[1:] != text[:-1]), [True]))) if len(chunk) else []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            part = batch.slice(lo, hi - lo)
+            if chunk[lo] != now:
+                now, tables, parts = chunk[lo], None, {CODE: [], WORD: []}
+            if not text[lo]:
+                for kind, keys, value in zip(*(part.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                    parts[kind].append((unpack_keys(keys), unpack_numbers(value)))
+                continue
+            if tables is None:
+                tables = [Table(*(np.concatenate(x) for x in zip(*parts.pop(kind), strict=True))) for kind in (CODE, WORD)]
+            yield score_texts(part.select([4, 5, 6]), *tables, depth)
 
 
 def _cogrouped(left: DataFrame, right: DataFrame, keys: list[str], least: int):
@@ -398,7 +412,7 @@ def score(docs: DataFrame, held_out: Column, depth: int = 5, chunk_bytes: int =
     rows = docs.select("doc_id", "text", (~F.coalesce(held_out, F.lit(False))).alias("train"))
     read = write_table(rows.mapInArrow(lambda b: read_chunks(b, depth, buckets, limit), f"chunk long, kind int, bucket int, asked long, keys binary, n binary, doc_id {id_type}, text string, train boolean"), "chunks")
     texts, found = read.where(f"kind = {TEXT}").select("chunk", "doc_id", "text", "train"), read.where(f"kind <> {TEXT}")
-    chunks = found.agg(F.count_distinct("chunk")).first()[0]
+    chunks, parts_read = found.agg(F.count_distinct("chunk"), F.coalesce(F.max(F.shiftright("chunk", 32)) + 1, F.lit(0))).first()
     parts = max(1, -(-chunks // CHUNKS_A_TASK))
     merged = "kind int, bucket int, part int, held long, learnt long, keys binary, n binary"
     counts = found.select("kind", "bucket", F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int").alias("part"), "keys", "n")
@@ -442,7 +456,14 @@ def score(docs: DataFrame, held_out: Column, depth: int = 5, chunk_bytes: int =
     asking = asking.select("chunk", "kind", "bucket", F.pmod(F.xxhash64("chunk"), F.col("parts")).cast("int").alias("part"), "keys")
     returned = _cogrouped(asking, values, ["kind", "bucket", "part"], steps).applyInArrow(look_up, "chunk long, kind int, keys binary, value binary")
     schema = f"doc_id {id_type}, train boolean, n_tokens long, n_known long, log_counts double, score double"
-    scored = _cogrouped(texts, returned, ["chunk"], chunks).applyInArrow(lambda x, y: score_chunk(x, y, depth), schema)
+    blank = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", id_type), ("text", "string"), ("train", "boolean"))]
+    work = returned.select("chunk", "kind", "keys", "value", *blank)
+    work = work.unionByName(texts.select("chunk", F.lit(TEXT).alias("kind"), *[F.lit(None).cast("binary").alias(c) for c in ("keys", "value")], "doc_id", "text", "train"))
+    # Chunks of one input partition have numbers that follow one another; this deals them over the tasks evenly.
+    place = F.shiftright("chunk", 32) + F.col("chunk").bitwiseAND(F.lit((1 << 32) - 1)) * F.lit(parts_read)
+    tasks = max(chunks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = work.repartitionById(tasks, F.pmod(place, F.lit(tasks)).cast("int")).sortWithinPartitions("chunk", "kind")
+    scored = dealt.mapInArrow(lambda b: score_chunks(b, depth), schema)
     scored = write_table(scored, "scores")
     total = scored.where("train").agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     distinct = counts.where(f"kind = {WORD}").agg(F.coalesce(F.sum("learnt"), F.lit(0))).first()[0]
