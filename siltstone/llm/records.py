@@ -12,9 +12,11 @@ u64 number of records, then as many u64 frame offsets and one more, the file's
 end: any record can be read alone, in any order.
 
 Shards hold ascending ranges of doc_id and ascending doc_ids within (nulls
-first; equal doc_ids in any order).  Each task writes under a fresh name and
-the manifest lists what successful tasks wrote, so a lost or repeated task
-leaves nothing that a reader sees.
+first; equal doc_ids in any order, over several shards if there are many).  Each
+task writes under a fresh name and the manifest, a table with a row for each
+shard, lists what successful tasks wrote, so a lost or repeated task leaves
+nothing that a reader sees.  Beyond ``PLENTY`` shards they become larger, up to
+``LARGEST`` times, so that a large input has a bounded number of them.
 
 Defined results: a null or empty text is the end id alone; repeated rows are
 written each; an empty table gives an empty manifest.  Only ``doc_id`` and
@@ -30,16 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from siltstone.llm.packing import END_ID, end_marked
-from siltstone.llm.shared import file_system, narrow_batches, new_path, partitions_for
+from siltstone.llm.shared import file_system, narrow_batches, new_path, partitions_for, write_table
 from siltstone.llm.tokens import encoder
 
 MASK = 0xA282EAD8
 _MAGIC = b"SILTIDX1"
+PLENTY, LARGEST = 8192, 32
 _HEAD = struct.Struct("<BqI")
-MANIFEST = "path string, records long, tokens long, bytes long, low long, high long"
+MANIFEST = "shard long, path string, records long, tokens long, bytes long, low long, high long"
 
 
 def masked(data: bytes) -> int:
@@ -63,7 +68,7 @@ def deserialize(payload: bytes) -> tuple[int | None, np.ndarray]:
 
 
 def write_records(docs: DataFrame, tokenizer_path: str, folder: str | None = None, shard_bytes: int = 16 << 20, end_id: int = END_ID) -> DataFrame:
-    """Encode every text and write it; returns the manifest, one row per shard, in doc_id order.
+    """Encode every text and write it; returns the manifest, one row per shard; ``shard`` has their order by doc_id.
 
     ``shard_bytes``: stored input bytes per shard.
     """
@@ -95,12 +100,14 @@ def write_records(docs: DataFrame, tokenizer_path: str, folder: str | None = Non
             return
         with fs.open_output_stream(f"{base}/{name}.idx") as out:
             out.write(_MAGIC + struct.pack("<Q", len(offsets) - 1) + np.array(offsets, "<u8").tobytes())
-        yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "records": len(offsets) - 1, "tokens": tokens, "bytes": offsets[-1], "low": low, "high": high}])
+        yield pa.RecordBatch.from_pylist([{"shard": TaskContext.get().partitionId(), "path": f"{folder}/{name}", "records": len(offsets) - 1, "tokens": tokens, "bytes": offsets[-1], "low": low, "high": high}])
 
-    ordered = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").repartitionByRange(partitions_for(docs, shard_bytes), "doc_id").sortWithinPartitions("doc_id")
-    rows = ordered.mapInArrow(run, MANIFEST).collect()  # a row per shard of shard_bytes
-    rows.sort(key=lambda r: (r["low"] is not None, r["low"] or 0, r["high"] or 0))
-    return spark.createDataFrame(rows, MANIFEST)
+    shards = partitions_for(docs, shard_bytes)
+    if shards > PLENTY:
+        shards = max(PLENTY, partitions_for(docs, LARGEST * shard_bytes))
+    salt = F.xxhash64(F.monotonically_increasing_id())  # deals the rows of a frequent doc_id
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", salt.alias("salt")).repartitionByRange(shards, "doc_id", "salt").sortWithinPartitions("doc_id")
+    return write_table(ordered.select("doc_id", "text").mapInArrow(run, MANIFEST), "manifest")
 
 
 def _frames(stream, offsets: np.ndarray, block: int = 4 << 20) -> Iterator[tuple[int, bytes]]:
@@ -148,13 +155,6 @@ def read_records(spark: SparkSession, manifest: DataFrame, with_ids: bool = True
 
     start: the ids before it in the order of the manifest.
     """
-    shards, before = [], 0
-    for r in manifest.collect():  # a row per shard
-        shards.append((r["path"], before))
-        before += r["tokens"]
-    if not shards:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
         kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * with_ids
@@ -173,5 +173,8 @@ def read_records(spark: SparkSession, manifest: DataFrame, with_ids: bool = True
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    listed = spark.createDataFrame(shards, "path string, before long").repartition(len(shards))
-    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)
+    in_order = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard, of which there are a bounded number
+    listed = write_table(manifest.select("path", F.coalesce(F.sum("tokens").over(in_order), F.lit(0)).alias("before")), "starts")
+    shards = listed.count()
+    tasks = max(1, min(shards, max(4 * spark.sparkContext.defaultParallelism, shards // 16)))
+    return listed.repartition(tasks).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,11 +20,27 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+#: Hadoop's names of file systems that Arrow knows by another one.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss", "viewfs": "hdfs"}
+
+
+def arrow_uri(uri: str) -> str:
+    """A URI of a Hadoop file system, or a plain path, as Arrow names it."""
+    scheme, colon, rest = uri.partition(":")
+    if not colon or "/" in scheme:
+        return "file://" + uri
+    return f"{_SCHEMES.get(scheme, scheme)}:{rest if rest.startswith('//') else '//' + rest}"
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The Arrow file system of a URI or plain path, and the path in it."""
-    if "://" in uri or uri.startswith("file:"):
-        return pafs.FileSystem.from_uri(uri if "://" in uri else uri.replace("file:", "file://", 1))
-    return pafs.LocalFileSystem(), uri
+    """The Arrow file system of a URI or plain path, and the path in it.
+
+    Known are file, hdfs and viewfs, s3 (s3a, s3n), gs and abfs(s) (wasb(s)), as far as Arrow was built with them.
+    """
+    try:
+        return pafs.FileSystem.from_uri(arrow_uri(uri))
+    except pa.ArrowInvalid as e:
+        raise ValueError(f"binary files can't be kept at {uri}: Arrow has no such file system") from e
 
 
 def partitions_for(df: DataFrame, target_bytes: int) -> int:
