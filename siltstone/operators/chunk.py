@@ -105,6 +105,29 @@ def hierarchy(signatures: list[int], limit: int = 1024) -> list[list[tuple[int,
     return levels
 
 
+def signature8(digest: Column | str) -> Column:
+    """The 8-bit signature of a chunk: its digest's first byte."""
+    return F.conv(F.substring(F.hex(digest), 1, 2), 16, 10).cast("int")
+
+
+def group_rows(df: DataFrame, keys: list[str], order: str, signature: str, minimum: int = 32, window: int = 4, log2_modulus: int = 7, marker: int = 1) -> DataFrame:
+    """The rows with ``group``, from 0 in each stream given by keys: ``group_items`` as a dataflow.
+
+    The signatures' rolling sums are a window function; the choice among the
+    rows where a group may end is made in order, from those rows alone.
+    """
+    name = F.struct(*keys) if len(keys) > 1 else F.col(keys[0])
+    in_order = Window.partitionBy("_stream").orderBy(order)
+    total = F.sum(signature).over(in_order.rowsBetween(-(window - 1), 0))
+    rows = df.withColumn("_stream", name).withColumn("_at", F.row_number().over(in_order).cast("long")).withColumn("_sum", total)
+    may = rows.where((F.pmod(F.col("_sum"), F.lit(1 << log2_modulus)) == marker) & (F.col("_at") >= window))
+    ends = may.groupBy("_stream").agg(F.array_sort(F.collect_list("_at")).alias("_ends"))  # one in 2^log2_modulus of a stream's rows
+    cuts = ends.select("_stream", F.explode(chosen_cuts(F.col("_ends"), max(minimum, window - 1) + 1)).alias("_at"), F.lit(1).alias("_cut"))
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.join(cuts, ["_stream", "_at"], "left").withColumn("group", F.coalesce(F.sum("_cut").over(before), F.lit(0)))
+    return out.select(*df.columns, "group")
+
+
 def chunks(df: DataFrame, keys: list[str], data: str, p: Parameters = Parameters(), keep_empty: bool = True) -> DataFrame:
     """keys, ordinal, start, end of every chunk of the BINARY column ``data`` (null: no rows).
 

@@ -14,27 +14,60 @@ def edges(objects: DataFrame) -> DataFrame:
     return objects.select(F.col("digest").alias("parent"), F.explode("refs").alias("child"))
 
 
-def reachable(links: DataFrame, roots: DataFrame, hops: int = 4) -> DataFrame:
+def reachable(links: DataFrame, roots: DataFrame) -> DataFrame:
     """node of everything reachable from roots (node) along links (parent, child), roots included.
 
-    Breadth first; each node is expanded once.  A round takes ``hops`` steps
-    before it is written out, so long chains need fewer rounds.
+    Breadth first; each node is expanded once, with an anti-join against what
+    was reached.  Long chains would take a round a link, so shortcuts are made:
+    a node with a single child skips to where the chain below it leads, which
+    pointer doubling finds in a logarithmic number of rounds, and the nodes of
+    the chains passed over are added at the end.  What was reached is written
+    out as one table whenever its parts would become many.
     """
     links = write_scratch(links.select(F.col("parent").alias("node"), "child").distinct(), "links")
+    nexts, members = _chains(links)
     seen = write_scratch(roots.select("node").distinct(), "reached")
-    frontier = seen
+    frontier, parts = seen, 1
     while True:
-        step, found = frontier, []
-        for _ in range(hops):
-            step = links.join(step, "node").select(F.col("child").alias("node")).distinct()
-            found.append(step)
-        new = found[0]
-        for more in found[1:]:
-            new = new.union(more)
-        frontier = write_scratch(new.distinct().join(seen, "node", "left_anti"), "reached")
+        step = nexts.join(frontier, "node").select(F.col("child").alias("node")).distinct()
+        frontier = write_scratch(step.join(seen, "node", "left_anti"), "reached")
         if frontier.isEmpty():
-            return seen
-        seen = seen.union(frontier)
+            break
+        seen, parts = seen.union(frontier), parts + 1
+        if parts == 8:
+            seen, parts = write_scratch(seen, "reached"), 1
+    passed = _passed(members, seen)
+    return write_scratch(seen.union(passed).distinct(), "reached")
+
+
+def _chains(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links that skip chains, and steps (node, child, span) of 1, 2, 4, ... links along them.
+
+    A chain is a run of nodes with one child each.  ``child`` of a skipping link
+    is the first node on the way that has none or several children.
+    """
+    only = links.groupBy("node").agg(F.count("*").alias("n"), F.first("child").alias("child"))
+    chain = write_scratch(only.where("n = 1").select("node", "child"), "chains")
+    inner = chain.join(chain.select(F.col("node").alias("child")), "child", "left_semi")  # whose child goes on along a chain
+    if inner.isEmpty():
+        return links, None
+    steps, jump, span = [], chain, 1
+    while True:
+        steps.append(jump.withColumn("span", F.lit(span)))
+        far = write_scratch(jump.alias("a").join(jump.alias("b"), F.col("a.child") == F.col("b.node"), "left").select(F.col("a.node").alias("node"), F.coalesce("b.child", "a.child").alias("child"), F.col("b.child").isNotNull().alias("more")), "chains")
+        jump, span = far.select("node", "child"), span * 2
+        if far.where("more").isEmpty() or span > 1 << 40:
+            break
+    several = links.join(chain.select("node"), "node", "left_anti")
+    return write_scratch(several.unionByName(jump.select("node", "child")), "links"), steps
+
+
+def _passed(steps: list[DataFrame] | None, seen: DataFrame) -> DataFrame:
+    """The nodes of chains between the reached ones: halves of the longest jumps, then of those, and so on."""
+    found = seen
+    for step in reversed(steps or []):
+        found = write_scratch(found.union(step.drop("span").join(found, "node").select(F.col("child").alias("node"))).distinct(), "reached")
+    return found
 
 
 def copy_missing(source: DataFrame, target: DataFrame, roots: DataFrame) -> DataFrame:
@@ -75,6 +108,26 @@ def check_integrity(objects: DataFrame, hash_name: str = NATIVE) -> DataFrame:
     return all_done.where(~F.col("digest").eqNullSafe(F.col("calculated"))).select(F.col("digest").alias("stored"), "calculated")
 
 
-def check_each(objects: DataFrame, hash_name: str = NATIVE) -> DataFrame:
+def within_depth(objects: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """digest, depth of objects at most ``depth`` references below roots (node), each once with its least depth."""
+    links = write_scratch(edges(objects).distinct(), "links")
+    seen = write_scratch(roots.select(F.col("node").alias("digest"), F.lit(0).alias("depth")).distinct(), "reached")
+    frontier = seen
+    for d in range(1, depth + 1):
+        step = links.join(frontier.select(F.col("digest").alias("parent")), "parent").select(F.col("child").alias("digest")).distinct()
+        frontier = write_scratch(step.join(seen, "digest", "left_anti").select("digest", F.lit(d).alias("depth")), "reached")
+        if frontier.isEmpty():
+            break
+        seen = write_scratch(seen.unionByName(frontier), "reached")
+    return seen
+
+
+def check_to_depth(objects: DataFrame, roots: DataFrame, depth: int, hash_name: str = NATIVE) -> DataFrame:
+    """stored, calculated, depth for objects at most ``depth`` below roots whose own content does not have their digest."""
+    near = within_depth(objects, roots, depth)
+    return check_each(objects.join(near, "digest"), hash_name, ["depth"])
+
+
+def check_each(objects: DataFrame, hash_name: str = NATIVE, more: list[str] | None = None) -> DataFrame:
     """stored, calculated for objects whose own content does not have their digest, without regard to others."""
-    return objects.withColumn("calculated", object_digest(F.col("blob"), F.col("refs"), hash_name)).where("digest <> calculated").select(F.col("digest").alias("stored"), "calculated")
+    return objects.withColumn("calculated", object_digest(F.col("blob"), F.col("refs"), hash_name)).where("digest <> calculated").select(F.col("digest").alias("stored"), "calculated", *(more or []))

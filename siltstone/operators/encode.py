@@ -35,10 +35,10 @@ def with_ref_index(entries: DataFrame, parent: str, order: str, child: Column) -
 def _collected(lines: DataFrame, parent: str) -> DataFrame:
     """parent, blob, refs from rows (parent, ordinal, line, ref, _child); an object's lines are one blob by definition."""
     grouped = lines.groupBy(parent).agg(
-        F.array_sort(F.collect_list(F.struct("ordinal", "line"))).alias("lines"),
+        F.expr("listagg(line) WITHIN GROUP (ORDER BY ordinal)").alias("blob"),
         F.array_sort(F.collect_set(F.struct("ref", "_child"))).alias("children"),
     )
-    return grouped.select(parent, F.aggregate("lines", F.lit(b""), lambda a, x: F.concat(a, x["line"])).alias("blob"), F.col("children._child").alias("refs"))
+    return grouped.select(parent, F.coalesce("blob", F.lit(b"")).alias("blob"), F.col("children._child").alias("refs"))
 
 
 def encode_large(entries: DataFrame, parent: str = "parent") -> DataFrame:
@@ -57,6 +57,36 @@ def encode_tree(entries: DataFrame, parent: str = "parent") -> DataFrame:
     return _collected(placed.withColumn("line", F.concat(netstring(text), F.lit(b"\n"))), parent)
 
 
+def _indexed(children: list[bytes]) -> tuple[list[int], list[bytes]]:
+    """Each child's place among the distinct ones, and these."""
+    refs = list(dict.fromkeys(children))
+    place = {d: i for i, d in enumerate(refs)}
+    return [place[d] for d in children], refs
+
+
+def large_blob(entries: list[dict]) -> tuple[bytes, list[bytes]]:
+    """Blob and references of one large object with entries {start, end, child}."""
+    entries = sorted(entries, key=lambda e: e["start"])
+    if any(e["end"] <= e["start"] for e in entries):
+        raise ValueError("an entry of a large object is empty")
+    places, refs = _indexed([e["child"]["digest"] for e in entries])
+    return b"".join(b"%d %d %d\n" % (e["start"], e["end"], i) for e, i in zip(entries, places, strict=True)), refs
+
+
+def tree_blob(entries: list[dict]) -> tuple[bytes, list[bytes]]:
+    """Blob and references of one tree with entries {name, child}."""
+    entries = sorted(entries, key=lambda e: e["name"].encode())
+    places, refs = _indexed([e["child"]["digest"] for e in entries])
+    out = []
+    for e, i in zip(entries, places, strict=True):
+        child = e["child"]
+        if child["kind"] not in ("small", "large", "tree"):
+            raise ValueError("a tree holds small, large and tree objects only")
+        body = f"{i} tree {e['name']}" if child["kind"] == "tree" else f"{i} data {child['size']} {child['depth']} {e['name']}"
+        out.append(b"%d:%s,\n" % (len(body.encode()), body.encode()))
+    return b"".join(out), refs
+
+
 def decode_large(blob: bytes, refs: list[bytes], size: int, depth: int) -> list[dict]:
     """Entries of a large object; depth 1 has small children."""
     out = []
@@ -141,13 +171,19 @@ def decoded_trees(objects: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def decoded_larges(objects: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, start, end, child of every entry of the large objects in (keys, size, depth, blob, refs), by SQL alone."""
-    lines = objects.select(*keys, "size", "depth", "refs", F.explode(F.filter(F.split(F.col("blob").cast("string"), "\n"), lambda x: x != "")).alias("line"))
+    """keys, start, end, child of every entry of the large objects in (keys, size, depth, blob, refs), by SQL alone.
+
+    An object whose entries end elsewhere than at its size is an error, as is an entry of no child.
+    """
+    listed = F.filter(F.split(F.col("blob").cast("string"), "\n"), lambda x: x != "")
+    end_of = F.coalesce(F.split(F.get("_lines", F.size("_lines") - 1), " ")[1].cast("long"), F.lit(0))
+    sized = F.when(end_of == F.col("size"), F.col("_lines")).otherwise(F.raise_error(F.lit("a large object has another size")).cast("array<string>"))
+    lines = objects.withColumn("_lines", listed).select(*keys, "size", "depth", "refs", F.explode(sized).alias("line"))
     part = F.split("line", " ")
     start, end, ref = (part[i].cast("long") for i in range(3))
     child = F.struct(
         F.when(F.col("depth") <= 1, "small").otherwise("large").alias("kind"),
-        F.element_at("refs", (ref + 1).cast("int")).alias("digest"),
+        F.coalesce(F.get("refs", ref.cast("int")), F.raise_error(F.lit("an entry refers to no child")).cast("binary")).alias("digest"),
         (end - start).alias("size"),
         F.greatest(F.col("depth") - 1, F.lit(0)).cast("smallint").alias("depth"),
     )

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.digest import NATIVE, object_digest
-from siltstone.operators.chunk import Parameters, chunk_blobs
+from siltstone.operators.chunk import Parameters, chunk_blobs, group_rows
 from siltstone.operators.encode import encode_large
+from siltstone.sources.tables import write_scratch
 
 
 def with_offsets(items: DataFrame, parent: str, order: str, size: str = "size") -> DataFrame:
@@ -22,9 +23,9 @@ def share(files: DataFrame, key: str, data: str, p: Parameters = Parameters(), h
 
     Returns the references (key, child STRUCT: small for up to one chunk, else
     large of depth 1) and the objects (digest, hash_name, blob, blob_len, refs),
-    repeated objects included.
+    repeated objects included.  Chunks are written once, since both are made of them.
     """
-    pieces = chunk_blobs(files, [key], data, p).withColumn("digest", object_digest(F.col("blob"), None, hash_name))
+    pieces = write_scratch(chunk_blobs(files, [key], data, p).withColumn("digest", object_digest(F.col("blob"), None, hash_name)), "pieces")
     none = F.array().cast("array<binary>")
     smalls = pieces.select("digest", F.lit(hash_name).alias("hash_name"), "blob", F.octet_length("blob").cast("long").alias("blob_len"), none.alias("refs"))
     child = F.struct(F.lit("small").alias("kind"), "digest", (F.col("end") - F.col("start")).alias("size"), F.lit(0).cast("smallint").alias("depth"))
@@ -51,8 +52,44 @@ def range_delta(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
 def reassembled(entries: DataFrame, objects: DataFrame, key: str) -> DataFrame:
     """key, data: files put together from their chunks (a file is one value, up to 2 GB)."""
     blobs = entries.join(objects.select(F.col("digest").alias("_digest"), "blob"), F.col("child.digest") == F.col("_digest")).select(key, "start", "blob")
-    parts = F.array_sort(F.collect_list(F.struct("start", "blob")))
-    return blobs.groupBy(key).agg(parts.alias("parts")).select(key, F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, x["blob"])).alias("data"))
+    return blobs.groupBy(key).agg(F.coalesce(F.expr("listagg(blob) WITHIN GROUP (ORDER BY start)"), F.lit(b"")).alias("data"))
+
+
+def hierarchy(entries: DataFrame, key: str, limit: int = 1024, hash_name: str = NATIVE, **rule: int) -> tuple[DataFrame, DataFrame]:
+    """Large objects of large objects for rows (key, start, end, child, signature), until a file has at most ``limit`` entries.
+
+    Returns the file's reference (key, child) and the objects made.  At each
+    level the entries of files that have more than ``limit`` are grouped by
+    ``chunk.group_rows``; a group becomes a large object whose entries count from
+    its own start, and its signature is the sum of its entries', modulo 256.
+    """
+    depth, objects, done = 1, None, None
+    now = write_scratch(entries.select(key, "start", "end", "child", "signature"), "level")
+    while True:
+        counted = now.groupBy(key).agg(F.count("*").alias("n"), F.max("end").alias("size"))
+        small = now.join(counted.where(F.col("n") <= limit).select(key, "size"), key)
+        top = encode_large(small, key).withColumn("digest", object_digest(F.col("blob"), F.col("refs"), hash_name)).join(counted.select(key, "size"), key)
+        made = _stored(top, hash_name)
+        found = top.select(key, F.struct(F.lit("large").alias("kind"), "digest", "size", F.lit(depth).cast("smallint").alias("depth")).alias("child"))
+        big = now.join(counted.where(F.col("n") > limit).select(key), key, "left_semi")
+        if big.isEmpty():
+            done, objects = (found, made) if done is None else (done.unionByName(found), objects.unionByName(made))
+            return done, objects
+        grouped = write_scratch(group_rows(big, [key], "start", "signature", **rule), "groups")
+        name = F.struct(key, "group")
+        own = grouped.withColumn("_group", name).withColumn("_first", F.min("start").over(Window.partitionBy(key, "group")))
+        lifted = own.select("_group", (F.col("start") - F.col("_first")).alias("start"), (F.col("end") - F.col("_first")).alias("end"), "child")
+        encoded = encode_large(lifted, "_group").withColumn("digest", object_digest(F.col("blob"), F.col("refs"), hash_name))
+        made = made.unionByName(_stored(encoded, hash_name))
+        spans = own.groupBy("_group").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.pmod(F.sum("signature"), F.lit(256)).cast("int").alias("signature"))
+        up = F.struct(F.lit("large").alias("kind"), "digest", (F.col("end") - F.col("start")).alias("size"), F.lit(depth).cast("smallint").alias("depth"))
+        done, objects = (found, made) if done is None else (done.unionByName(found), objects.unionByName(made))
+        now = write_scratch(spans.join(encoded.select("_group", "digest"), "_group").select(F.col("_group")[key].alias(key), "start", "end", up.alias("child"), "signature"), "level")
+        depth += 1
+
+
+def _stored(encoded: DataFrame, hash_name: str) -> DataFrame:
+    return encoded.select("digest", F.lit(hash_name).alias("hash_name"), "blob", F.octet_length("blob").cast("long").alias("blob_len"), "refs")
 
 
 def summary(objects: DataFrame) -> DataFrame:

@@ -24,10 +24,16 @@ def to_hash(cache: DataFrame, files: DataFrame, stored: DataFrame) -> DataFrame:
     return files.join(known.select("path"), "path", "left_anti")
 
 
-def resolve(cache: DataFrame, snapshots: DataFrame, files: DataFrame) -> DataFrame:
-    """The cache with snapshots (path, child, inode) written, each only if its file has positively not changed since."""
-    now = snapshots.join(files.select("path", F.col("inode").alias("now")), "path")
-    fresh = now.where(inode_unchanged(F.col("inode"), F.col("now"))).select("path", "child", F.col("now").alias("inode"))
+def resolve(cache: DataFrame, snapshots: DataFrame, files: DataFrame, required: bool = False) -> DataFrame:
+    """The cache with snapshots (path, child, inode) written, each only if its file has positively not changed since.
+
+    A file that has, or may have, changed is left out; if ``required``, it is an error.
+    """
+    now = snapshots.join(files.select("path", F.col("inode").alias("now")), "path", "left" if required else "inner")
+    same = F.coalesce(inode_unchanged(F.col("inode"), F.col("now")), F.lit(False))
+    if required:
+        same = F.when(same, same).otherwise(F.raise_error(F.concat(F.lit("changed meanwhile: "), F.col("path").cast("string"))).cast("boolean"))
+    fresh = now.where(same).select("path", "child", F.col("now").alias("inode"))
     return cache.join(fresh.select("path"), "path", "left_anti").unionByName(fresh)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.digest import NATIVE, digest_of, object_digest
 from siltstone.operators.encode import REF, decoded_trees, encode_tree
+from siltstone.sources.tables import write_scratch
 
 FLAT = f"path array<string>, child {REF}"
 
@@ -49,7 +50,8 @@ def flatten(objects: DataFrame, root: bytes, max_depth: int = 256) -> DataFrame:
     out = spark.createDataFrame([], FLAT)
     for _ in range(max_depth):
         stored = frontier.join(objects.select("digest", "blob", "refs"), "digest")
-        level = decoded_trees(stored, ["path"]).select(F.array_append("path", F.col("name")).alias("path"), "child").persist()
+        level = decoded_trees(stored, ["path"]).select(F.array_append("path", F.col("name")).alias("path"), "child")
+        level = write_scratch(level, "level")
         out = out.unionByName(level)
         frontier = level.where("child.kind = 'tree'").select("path", F.col("child.digest").alias("digest"))
         if frontier.isEmpty():

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltstone.functions.digest import NATIVE, object_digest
-from siltstone.operators.chunk import Parameters, split
+from siltstone.operators.chunk import Parameters, candidates, choose
 from siltstone.sources.store import Store
 
 CHUNK = "stream string, ordinal long, start long, end long, blob binary"
@@ -20,12 +20,16 @@ CHUNK = "stream string, ordinal long, start long, end long, blob binary"
 def advance(state: tuple[int, int, bytes], data: bytes, p: Parameters, last: bool) -> tuple[tuple[int, int, bytes], list[tuple[int, int, int, bytes]]]:
     """Feed bytes to an open chunk: the new state (ordinal, start, open bytes) and the finished (ordinal, start, end, blob).
 
-    Cuts depend only on the bytes since the last cut, so the open chunk is all the state there is.
+    Cuts depend only on the bytes since the last cut, so the open chunk is all the state there is.  The open
+    bytes held no cut, so only the window before the new ones is looked at again.
     """
     ordinal, start, held = state
+    before = np.frombuffer(held[-p.window :], np.uint8)
+    ends = candidates(np.frombuffer(data, np.uint8), p, before) + len(held)
+    cuts = choose(ends[ends % p.stride == 0], p.window)
     held += data
     out = []
-    ranges = split(np.frombuffer(held, np.uint8), p)
+    ranges = list(zip([0, *cuts], [*cuts, len(held)], strict=True))
     whole = ranges if last and (ranges[-1][1] > ranges[-1][0] or not (ordinal or ranges[:-1])) else ranges[:-1]
     for a, b in whole:
         out.append((ordinal, start + a, start + b, held[a:b]))
@@ -46,10 +50,15 @@ def chunk_stream(arrivals: DataFrame, p: Parameters = Parameters()) -> DataFrame
         now = (now[0], now[1], bytes(now[2]))
         rows = pd.concat(list(frames)).sort_values("seq")
         out, closed = [], False
+        waiting = []
         for data, last in zip(rows["data"], rows["last"], strict=True):
-            now, found = advance(now, bytes(data or b""), p, bool(last))
+            waiting.append(bytes(data or b""))
+            if last:
+                now, found = advance(now, b"".join(waiting), p, True)
+                out, waiting, closed = out + found, [], True
+        if waiting:
+            now, found = advance(now, b"".join(waiting), p, False)
             out += found
-            closed |= bool(last)
         if closed:
             state.remove()
         else:

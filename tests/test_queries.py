@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from siltstone.plans.queries import ORACLES, QUERIES
+from siltstone.plans.repository_queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
