@@ -10,16 +10,18 @@ Fingerprints have 64 bits, cut into ``BLOCKS`` blocks.  Every item is listed
 under each value within ``FLIPS`` bits of each of its blocks.  If two
 fingerprints differ in at most BLOCKS * (FLIPS + 1) - 1 = 23 bits, some block
 differs in at most FLIPS, so one look at each block's list finds every item
-within that radius.  Items found are confirmed by exact weighted similarity.
-(At similarity 0.8 about 10 of 64 bits differ, with standard deviation 3.)
+within that radius.  Items found are confirmed by exact weighted similarity.  (At similarity 0.8 about 10 of 64 bits differ, with
+standard deviation 3.)  So wide a radius takes in a large share of the items;
+what keeps windows few is the next step, which comes before.
 
 Before fingerprints are made, windows are passed over in which the shingles
 that any item has weigh less than the threshold's share of the window.  This
 loses nothing: their similarity with any item is below the threshold.
 
-Items are taken ``ITEMS_A_PASS`` at a time, so what each pass broadcasts is
-bounded; texts are never shuffled.  Where contaminated documents are dropped,
-each row is judged by its own text, with or without a doc_id.
+Items are taken by passes of ``PASS_BYTES`` of text, so what each pass broadcasts
+is bounded; texts are never shuffled.  Where contaminated documents are dropped,
+each row is judged by its own text, with or without a doc_id.  Shingles are told
+apart by 64-bit hashes.
 
 Defined results: null and empty texts and items match nothing; an item of fewer
 words than a shingle is one shingle and matches equal runs of words only;
@@ -45,9 +47,12 @@ from siltstone.llm.words import Slab, mix, shingle_hashes, short_text_hashes, sl
 
 BLOCKS, FLIPS = 6, 3
 RADIUS = BLOCKS * (FLIPS + 1) - 1
-ITEMS_A_PASS = 4096
+PASS_BYTES, ITEM_BYTES = 16 << 20, 1024  # an item counts with its text and what its lists take
+#: Items looked at at once, in the lists of all windows at hand.
+LISTED_AT_ONCE = 1 << 21
 _WIDTHS = [11, 11, 11, 11, 10, 10]
 _SHIFTS = [sum(_WIDTHS[:i]) for i in range(BLOCKS)]
+_FLIPPED = [np.array([sum(1 << b for b in c) for r in range(FLIPS + 1) for c in combinations(range(bits), r)], np.int64) for bits in _WIDTHS]
 
 
 def simhash(signs_total: np.ndarray) -> np.ndarray:
@@ -99,12 +104,13 @@ class Index:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[self.shingles >> np.uint64(44)] = True
         self.lists = []
-        for shift, bits in zip(_SHIFTS, _WIDTHS, strict=True):
-            flips = np.array([sum(1 << b for b in c) for r in range(FLIPS + 1) for c in combinations(range(bits), r)], np.int64)
+        for shift, bits, flips in zip(_SHIFTS, _WIDTHS, _FLIPPED, strict=True):
             value = (prints >> np.uint64(shift)).astype(np.int64) & ((1 << bits) - 1)
             near = (value[:, None] ^ flips).reshape(-1)
             order = np.argsort(near, kind="stable")
             self.lists.append((np.searchsorted(near[order], np.arange((1 << bits) + 1)), (order // len(flips)).astype(np.int32)))
+        #: Windows whose lists hold LISTED_AT_ONCE items at most.
+        self.at_once = max(1, LISTED_AT_ONCE // max(1, len(keep)))
         #: Sizes to slide windows of; shorter items are matched as one shingle of their own length.
         self.lengths = np.unique(self.sizes)
 
@@ -173,8 +179,8 @@ def text_matches(index: Index, h: np.ndarray, w: np.ndarray, hit: np.ndarray, n_
         return out
     lo, hi = int(begin.min()), int(end.max())
     sums = np.concatenate((np.zeros((1, 64), np.int64), np.cumsum(signed(h[lo:hi]) * w[lo:hi, None], axis=0)))
-    for at in range(0, len(begin), 4096):
-        b, e, s = begin[at : at + 4096], end[at : at + 4096], size[at : at + 4096]
+    for at in range(0, len(begin), index.at_once):
+        b, e, s = (x[at : at + index.at_once] for x in (begin, end, size))
         owner, item = index.within_radius(simhash(sums[e - lo] - sums[b - lo]))
         fits = index.sizes[item] == s[owner]
         for k, i in zip(owner[fits].tolist(), item[fits].tolist(), strict=True):
@@ -189,12 +195,18 @@ def _short_matches(index: Index, found: Shingled) -> Iterator[tuple[int, int, tu
     for n in (int(x) for x in index.lengths if x < index.width):
         items = np.flatnonzero(index.sizes == n)
         keys = np.array([index.sets[i][0][0] for i in items], np.uint64)
-        for i in np.flatnonzero(found.words > n).tolist():
-            runs = short_text_hashes(found.word_hashes[found.word_first[i] : found.word_first[i + 1]], n)
-            for key, item in zip(keys, items.tolist(), strict=True):
-                at = np.flatnonzero(runs == key)
-                if len(at):
-                    yield i, item, (1.0, int(at[0]), n)
+        order = np.argsort(keys, kind="stable")
+        runs = short_text_hashes(found.word_hashes, n)
+        lo, hi = (np.searchsorted(keys[order], runs, side) for side in ("left", "right"))
+        at = np.flatnonzero(hi > lo)
+        text = np.searchsorted(found.word_first, at, "right") - 1
+        whole = (at + n <= found.word_first[text + 1]) & (found.words[text] > n)  # within one text, which is longer
+        seen = set()
+        for p, i in zip(at[whole].tolist(), text[whole].tolist(), strict=True):
+            for item in items[order[lo[p] : hi[p]]].tolist():
+                if (i, item) not in seen:
+                    seen.add((i, item))
+                    yield i, item, (1.0, p - int(found.word_first[i]), n)
 
 
 @functools.lru_cache(maxsize=2)
@@ -241,9 +253,10 @@ def _finder(item_ids: tuple, texts: tuple, threshold: float, width: int):
 
 
 def _passes(benchmark: DataFrame) -> Iterator[tuple[tuple, tuple]]:
-    """Ids and texts of about ITEMS_A_PASS items at a time."""
+    """Ids and texts of about PASS_BYTES of items at a time."""
     items = benchmark.select("item_id", "text").where("text is not null")
-    passes = -(-items.count() // ITEMS_A_PASS)
+    size = items.agg(F.sum(F.octet_length("text").cast("long") + ITEM_BYTES)).first()[0] or 0
+    passes = -(-size // PASS_BYTES)
     for at in range(passes):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == at).collect()
         yield tuple(r["item_id"] for r in rows), tuple(r["text"] for r in rows)
