@@ -9,6 +9,10 @@ from siltstone.functions.digest import NATIVE, object_digest
 from siltstone.sources.tables import write_scratch
 
 
+#: Rounds of a traversal before chains are looked for.
+SHALLOW = 10
+
+
 def edges(objects: DataFrame) -> DataFrame:
     """parent, child for every reference of every object."""
     return objects.select(F.col("digest").alias("parent"), F.explode("refs").alias("child"))
@@ -18,17 +22,20 @@ def reachable(links: DataFrame, roots: DataFrame) -> DataFrame:
     """node of everything reachable from roots (node) along links (parent, child), roots included.
 
     Breadth first; each node is expanded once, with an anti-join against what
-    was reached.  Long chains would take a round a link, so shortcuts are made:
-    a node with a single child skips to where the chain below it leads, which
-    pointer doubling finds in a logarithmic number of rounds, and the nodes of
-    the chains passed over are added at the end.  What was reached is written
-    out as one table whenever its parts would become many.
+    was reached.  Long chains would take a round a link, so after ``SHALLOW``
+    rounds shortcuts are made: a node with a single child skips to where the chain
+    below it leads, which pointer doubling finds in a logarithmic number of
+    rounds, and the nodes of the chains passed over are added at the end.  What
+    was reached is written out as one table whenever its parts would become many.
     """
     links = write_scratch(links.select(F.col("parent").alias("node"), "child").distinct(), "links")
-    nexts, members = _chains(links)
+    nexts, members = links, None
     seen = write_scratch(roots.select("node").distinct(), "reached")
-    frontier, parts = seen, 1
+    frontier, parts, rounds = seen, 1, 0
     while True:
+        rounds += 1
+        if rounds == SHALLOW:
+            nexts, members = _chains(links)
         step = nexts.join(frontier, "node").select(F.col("child").alias("node")).distinct()
         frontier = write_scratch(step.join(seen, "node", "left_anti"), "reached")
         if frontier.isEmpty():
@@ -36,8 +43,7 @@ def reachable(links: DataFrame, roots: DataFrame) -> DataFrame:
         seen, parts = seen.union(frontier), parts + 1
         if parts == 8:
             seen, parts = write_scratch(seen, "reached"), 1
-    passed = _passed(members, seen)
-    return write_scratch(seen.union(passed).distinct(), "reached")
+    return _passed(members, seen)
 
 
 def _chains(links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -106,3 +106,36 @@ def test_streamed_files_are_stored(spark, tmp_path):
     q.awaitTermination(120)
     assert store.count() > 5 and store.objects().where(F.col("blob") == F.lit(b"short")).count() == 1
     assert store.objects().agg(F.sum("blob_len")).first()[0] == 4005
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from siltstone.__main__ import main
+
+    def say(*words):
+        code = main(["-C", str(tmp_path), *words])
+        out = capsys.readouterr()
+        return code, out.out.splitlines(), out.err
+
+    (tmp_path / "f").write_bytes(b"x")
+    assert say("status")[0] == 1
+    assert say("init")[0] == 0
+    assert say("stage", ".")[0] == 0
+    assert say("status")[1][1:] == ["added f"]
+    code, lines, _ = say("commit", "--message", "m")
+    assert code == 0 and len(lines[0]) == 64
+    assert say("commit")[2].startswith("siltstone: nothing has changed")
+    assert say("log")[1][0].endswith(" m") and say("show")[1][0].endswith(" 1 f")
+    assert say("branch", "side")[0] == 0 and [x.split()[1] for x in say("branch")[1]] == ["master", "side"]
+
+
+def test_chains_are_walked_in_few_rounds(spark, monkeypatch):
+    from siltstone.operators import dag
+
+    n, written = 3000, []
+    links = spark.range(n).select(F.col("id").alias("parent"), (F.col("id") + 1).alias("child")).union(spark.createDataFrame([(n // 2, 10 * n), (10 * n, 10 * n + 1)], "parent long, child long"))
+    plain = dag.write_scratch
+    monkeypatch.setattr(dag, "write_scratch", lambda df, name: (written.append(name), plain(df, name))[1])
+    got = {r["node"] for r in dag.reachable(links, spark.createDataFrame([(5,)], "node long")).collect()}
+    assert got == {*range(5, n + 1), 10 * n, 10 * n + 1} and len(written) < 60
+    loop = spark.createDataFrame([(i, (i + 1) % 40) for i in range(40)], "parent long, child long")
+    assert dag.reachable(loop, spark.createDataFrame([(3,)], "node long")).count() == 40
