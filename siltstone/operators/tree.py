@@ -32,7 +32,7 @@ def build_tree(leaves: DataFrame, hash_name: str = NATIVE) -> tuple[DataFrame, D
         entries = leaves.where(F.size("path") == level)
         entries = entries if built is None else entries.unionByName(built)
         named = entries.select(parent_of().alias("parent"), F.element_at("path", -1).alias("name"), "child")
-        encoded = encode_tree(named).withColumn("digest", object_digest(F.col("blob"), F.col("refs"), hash_name))
+        encoded = write_scratch(encode_tree(named).withColumn("digest", object_digest(F.col("blob"), F.col("refs"), hash_name)), "level")  # the next level and the objects read it
         made = encoded.select("digest", F.lit(hash_name).alias("hash_name"), "blob", F.octet_length("blob").cast("long").alias("blob_len"), "refs")
         objects = made if objects is None else objects.unionByName(made)
         built = encoded.select(F.col("parent").alias("path"), F.struct(F.lit("tree").alias("kind"), "digest", F.lit(None).cast("long").alias("size"), F.lit(None).cast("smallint").alias("depth")).alias("child"))
