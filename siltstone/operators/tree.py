@@ -43,14 +43,26 @@ def build_tree(leaves: DataFrame, hash_name: str = NATIVE) -> tuple[DataFrame, D
     return built.select("child"), objects
 
 
-def flatten(objects: DataFrame, root: bytes, max_depth: int = 256) -> DataFrame:
-    """All paths of a stored tree, level by level; each level reads the directories of its frontier only."""
+def entries_of(objects: DataFrame, directories: DataFrame, *keys: str) -> DataFrame:
+    """path, keys and child of the entries of directories (path, digest, keys); objects may be there twice."""
+    met = objects.select("digest", "blob", "refs").join(directories.select("digest"), "digest", "left_semi").dropDuplicates(["digest"])
+    stored = directories.select("path", *keys, "digest").join(met, "digest")
+    return decoded_trees(stored, ["path", *keys]).select(F.array_append("path", F.col("name")).alias("path"), *keys, "child")
+
+
+def flatten(objects: DataFrame, root: bytes, wanted: DataFrame | None = None, max_depth: int = 256) -> DataFrame:
+    """All paths of a stored tree, level by level; each level reads the directories of its frontier only.
+
+    With wanted (path) only those paths and what is above them are met.
+    """
     spark = objects.sparkSession
     frontier = spark.createDataFrame([([], root)], "path array<string>, digest binary")
     out = spark.createDataFrame([], FLAT)
-    for _ in range(max_depth):
-        stored = frontier.join(objects.select("digest", "blob", "refs"), "digest")
-        level = decoded_trees(stored, ["path"]).select(F.array_append("path", F.col("name")).alias("path"), "child")
+    for depth in range(1, max_depth + 1):
+        level = entries_of(objects, frontier)
+        if wanted is not None:
+            above = wanted.where(F.size("path") >= depth).select(F.slice("path", 1, depth).alias("path"))
+            level = level.join(above, "path", "left_semi")
         level = write_scratch(level, "level")
         out = out.unionByName(level)
         frontier = level.where("child.kind = 'tree'").select("path", F.col("child.digest").alias("digest"))
@@ -70,8 +82,21 @@ def look_up(flat: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.select("path").join(flat, "path", "left")
 
 
-def listing(flat: DataFrame, path: list[str]) -> DataFrame:
-    """name, kind, size, digest of a directory's own entries."""
-    here = F.array(*map(F.lit, path)).cast("array<string>")
-    below = flat.where((F.size("path") == len(path) + 1) & (parent_of() == here))
-    return below.select(F.element_at("path", -1).alias("name"), "child.kind", "child.size", "child.digest")
+def listing(objects: DataFrame, root: bytes, path: list[str]) -> DataFrame:
+    """name, kind, size, digest of a stored directory's own entries, none where no directory is.
+
+    Only the directories on the way are read, one at a time.
+    """
+    spark = objects.sparkSession
+
+    def entries(digest: bytes) -> DataFrame:
+        found = objects.where(F.col("digest") == F.lit(digest)).dropDuplicates(["digest"])
+        return decoded_trees(found, ["digest"]).select("name", "child")
+
+    here = entries(root)
+    for name in path:
+        step = here.where((F.col("name") == name) & (F.col("child.kind") == "tree")).select("child.digest").first()
+        if step is None:
+            return spark.createDataFrame([], "name string, kind string, size long, digest binary")
+        here = entries(bytes(step["digest"]))
+    return here.select("name", "child.kind", "child.size", "child.digest")

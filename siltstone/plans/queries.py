@@ -66,6 +66,17 @@ def _flat(snapshot: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tree.flatten(objects, bytes(root.first()["child"]["digest"])), root, objects
 
 
+def _built(leaves: DataFrame) -> tuple[bytes, DataFrame]:
+    """The digest of a tree's root and its tree objects, written."""
+    root, objects = tree.build_tree(write_scratch(leaves, "leaves"))
+    return bytes(root.first()["child"]["digest"]), write_scratch(objects.dropDuplicates(["digest"]), "trees")
+
+
+def _stored_changes(spark: SparkSession, sf: str) -> DataFrame:
+    (a, of_a), (b, of_b) = (_built(_leaves(s)) for s in (_blobs(spark, sf), _snapshot_b(spark, sf)))
+    return diff.stored_changes(of_a.unionByName(of_b).dropDuplicates(["digest"]), a, b)
+
+
 def _path(c: str = "path") -> Column:
     return F.array_join(c, "/").alias(c)
 
@@ -305,16 +316,16 @@ def tree_flatten(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {TREE_A}, wanted AS (SELECT lang || '/' || source || '/doc_' || doc_id AS path FROM documents UNION ALL SELECT lang || '/' || source || '/doc_' || (doc_id + 1000000) FROM documents WHERE source = 'src5') SELECT w.path, t.kind, t.digest FROM wanted w LEFT JOIN tree t USING (path)")
 def path_lookup(spark: SparkSession, sf: str) -> DataFrame:
-    flat, _, _ = _flat(_blobs(spark, sf))
+    root, objects = _built(_leaves(_blobs(spark, sf)))
     d = _docs(spark, sf).select("lang", "source", "doc_id")
     wanted = d.unionByName(d.where("source = 'src5'").withColumn("doc_id", F.col("doc_id") + 1000000)).select(F.array("lang", "source", F.concat(F.lit("doc_"), "doc_id")).alias("path"))
-    return tree.look_up(flat, wanted).select(_path(), "child.kind", _hex("child.digest").alias("digest"))
+    return tree.look_up(tree.flatten(objects, root, wanted), wanted).select(_path(), "child.kind", _hex("child.digest").alias("digest"))
 
 
 @query(f"WITH {TREE_A} SELECT name, kind, size, digest FROM tree WHERE parent = 'en'")
 def show_directory(spark: SparkSession, sf: str) -> DataFrame:
-    flat, _, _ = _flat(_blobs(spark, sf))
-    return tree.listing(flat, ["en"]).select("name", "kind", "size", _hex().alias("digest"))
+    root, objects = _built(_leaves(_blobs(spark, sf)))
+    return tree.listing(objects, root, ["en"]).select("name", "kind", "size", _hex().alias("digest"))
 
 
 @query(f"WITH {TREES} SELECT CASE WHEN y.path IS NULL THEN 'removed' WHEN x.path IS NULL THEN 'added' ELSE 'modified' END AS change, coalesce(x.path, y.path) AS path FROM (SELECT * FROM x_tree WHERE kind <> 'tree') x FULL JOIN (SELECT * FROM y_tree WHERE kind <> 'tree') y ON x.path = y.path WHERE x.digest IS DISTINCT FROM y.digest")
@@ -330,8 +341,7 @@ UNION ALL SELECT 'added', y.path FROM y_tree y WHERE y.path NOT IN (SELECT path
 
 @query(f"WITH {TREES} {CHANGES}")
 def status_changes(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = _flat(_blobs(spark, sf))[0], _flat(_snapshot_b(spark, sf))[0]
-    return diff.changes(a, b).select("change", _path())
+    return _stored_changes(spark, sf).select("change", _path())
 
 
 @query(f"WITH {TREE_A} SELECT 'added' AS change, path FROM tree WHERE parent = ''")
@@ -597,8 +607,7 @@ def render_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {TREES} SELECT upper(change[1]) || change[2:] || '(' || path || ')' AS shown FROM ({CHANGES})")
 def render_changes(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = _flat(_blobs(spark, sf))[0], _flat(_snapshot_b(spark, sf))[0]
-    return diff.changes(a, b).select(render.change_text(F.col("change"), F.col("path")).alias("shown"))
+    return _stored_changes(spark, sf).select(render.change_text(F.col("change"), F.col("path")).alias("shown"))
 
 
 @query(f"WITH {TREE_A}, o AS (SELECT DISTINCT 0 AS children, digest, size FROM leaf UNION ALL SELECT DISTINCT (length(refs) // 64)::INTEGER, d.digest, octet_length(encode(t))::BIGINT FROM a_text JOIN a_refs USING (lang, source) JOIN dirs d ON d.lang = a_text.lang AND d.name = source UNION ALL SELECT DISTINCT (length(refs) // 64)::INTEGER, g.digest, octet_length(encode(t))::BIGINT FROM b_text JOIN b_refs USING (lang) JOIN langs g ON g.name = lang UNION ALL SELECT (length(refs) // 64)::INTEGER, '', octet_length(encode(t))::BIGINT FROM c_text JOIN c_refs USING (top)) SELECT children, count(*) AS objects, sum(size)::BIGINT AS blob_bytes FROM o GROUP BY children")

@@ -363,15 +363,12 @@ def scan_ignores(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT 'removed', lang || '/src4/doc_' || doc_id FROM documents WHERE source = 'src4' UNION ALL SELECT 'added', lang || '/src4/doc_' || doc_id || '/part' FROM documents WHERE source = 'src4'""")
 def status_kind_change(spark: SparkSession, sf: str) -> DataFrame:
     """Directories that became files (src3), and files that became directories (src4)."""
-    def flat(leaves: DataFrame) -> DataFrame:
-        root, objects = tree.build_tree(write_scratch(leaves, "leaves"))
-        return tree.flatten(write_scratch(objects, "trees").dropDuplicates(["digest"]), bytes(root.first()["child"]["digest"]))
-
     a = q._leaves(q._blobs(spark, sf))
     file = a.where("path[1] = 'src3'").groupBy(F.slice("path", 1, 2).alias("path")).agg(F.min("child").alias("child"))
     deeper = a.where("path[1] = 'src4'").select(F.array_append("path", F.lit("part")).alias("path"), "child")
     b = a.where("path[1] not in ('src3', 'src4')").unionByName(file).unionByName(deeper)
-    return diff.changes(flat(a), flat(b)).select("change", q._path())
+    (head, of_head), (candidate, of_candidate) = q._built(a), q._built(b)
+    return diff.stored_changes(of_head.unionByName(of_candidate).dropDuplicates(["digest"]), head, candidate).select("change", q._path())
 
 
 @query(f"WITH {q.DAMAGED} SELECT digest AS stored, 3 AS depth FROM bad")

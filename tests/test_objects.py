@@ -78,9 +78,10 @@ def test_trees_flatten_to_what_they_were_built_of(spark):
     leaves = {"a/b/c": small(b"1"), "a/b/d": small(b"2"), "a/e": small(b"1"), "f\n g": small(b"")}
     root, objects = tree.build_tree(flat(spark, leaves))
     got = paths(tree.flatten(objects, bytes(root.first()["child"]["digest"])))
+    assert tree.flatten(objects.unionByName(objects), bytes(root.first()["child"]["digest"])).count() == len(got)
     assert {p for p, r in got.items() if r["child"]["kind"] == "tree"} == {"a", "a/b"}
     assert {p: bytes(r["child"]["digest"]) for p, r in got.items() if r["child"]["kind"] == "small"} == {p: c[1] for p, c in leaves.items()}
-    assert [r["name"] for r in tree.listing(tree.flatten(objects, bytes(root.first()["child"]["digest"])), ["a"]).orderBy("name").collect()] == ["b", "e"]
+    assert [r["name"] for r in tree.listing(objects, bytes(root.first()["child"]["digest"]), ["a"]).orderBy("name").collect()] == ["b", "e"]
     empty, _ = tree.build_tree(flat(spark, leaves).where("false"))
     assert bytes(empty.first()["child"]["digest"]) == digest_of(b"", [], "SHA-2-256")
 
@@ -90,6 +91,36 @@ def with_dirs(spark, leaves):
     return tree.flatten(objects, bytes(root.first()["child"]["digest"]))
 
 
+def stored(spark, leaves):
+    root, objects = tree.build_tree(flat(spark, leaves))
+    return bytes(root.first()["child"]["digest"]), objects
+
+
+def test_stored_changes_are_those_of_flat_trees(spark):
+    one, two = small(b"1"), small(b"2")
+    sides = [{"same/a/b": one, "mod": one, "gone/x/y": one, "d/k": one, "was_dir/p/q": one, "was_file": one, "deep/1/2/3": one}, {"same/a/b": one, "mod": two, "new/x/y": one, "d/k": one, "d/n": one, "was_dir": one, "was_file/q/r": one, "deep/1/2/3": two}]
+    (a, of_a), (b, of_b) = (stored(spark, s) for s in sides)
+    objects = of_a.unionByName(of_b)  # trees both have are there twice
+    want = sorted((r["change"], r["path"]) for r in diff.changes(*(with_dirs(spark, s) for s in sides)).collect())
+    assert sorted((r["change"], r["path"]) for r in diff.stored_changes(objects, a, b).collect()) == want
+    assert diff.stored_changes(objects, a, a).isEmpty()
+    same = bytes(tree.listing(objects, a, []).where("name = 'same'").first()["digest"])
+    assert sorted((r["change"], r["path"]) for r in diff.stored_changes(objects.where(F.col("digest") != F.lit(same)), a, b).collect()) == want  # never read
+
+
+def test_listing_and_wanted_paths(spark):
+    one = small(b"1")
+    root, objects = stored(spark, {"d/k": one, "d/e/f": one, "x": one, "y/z": one})
+    names = lambda path: sorted((r["name"], r["kind"]) for r in tree.listing(objects, root, path).collect())
+    assert names([]) == [("d", "tree"), ("x", "small"), ("y", "tree")]
+    assert names(["d"]) == [("e", "tree"), ("k", "small")]
+    assert names(["d", "e"]) == [("f", "small")]
+    assert names(["x"]) == names(["no"]) == names(["x", "no"]) == []
+    wanted = spark.createDataFrame([(["d", "e", "f"],), (["x"],), (["x", "no"],), (["y"],), (["no", "no"],)], "path array<string>")
+    found = {"/".join(r["path"]): r["child"] for r in tree.look_up(tree.flatten(objects, root, wanted), wanted).collect()}
+    assert {p for p, child in found.items() if child} == {"d/e/f", "x", "y"} and len(found) == 5
+
+
 def test_changes(spark):
     one, two = small(b"1"), small(b"2")
     head = with_dirs(spark, {"same": one, "mod": one, "gone/x/y": one, "d/k": one, "was_dir/p": one, "was_file": one})
