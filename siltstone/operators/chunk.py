@@ -14,8 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 @dataclass(frozen=True)
@@ -181,6 +183,75 @@ def chunk_blobs(df: DataFrame, keys: list[str], data: str, p: Parameters = Param
     return df.select(*keys, F.col(data).cast("binary").alias(data)).mapInArrow(run, f"{schema}, ordinal int, start long, end long, blob binary")
 
 
+def long_chunks(df: DataFrame, keys: list[str], order: str, data: str, p: Parameters = Parameters()) -> DataFrame:
+    """keys, ordinal, start, end of the chunks of streams that come as rows, whatever their length.
+
+    A stream is the ``data`` of the rows of a key in ascending ``order``, which
+    no two of its rows should share; null data has no bytes; only an empty
+    stream has an empty chunk.  Rows are dealt by ranges, so a stream may be
+    in many tasks.  Each finds the candidates inside its pieces; their edges,
+    a window long, meet where the few candidates of a stream pass by in order.
+    """
+    types = [to_arrow_type(df.schema[k].dataType) for k in keys]
+    edge, schema = p.window - 1, ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, int, int]]:
+        named = list(zip(*(batch.column(i).to_pylist() for i in range(len(keys))), strict=True))
+        a = 0
+        for b in range(1, len(named) + 1):
+            if b == len(named) or named[b] != named[a]:
+                yield named[a], a, b
+                a = b
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            at, rows = [], []
+            for _, a, b in runs(batch):
+                raw = b"".join(x.as_buffer() for x in batch.column(len(keys)).slice(a, b - a) if x.is_valid)
+                at.append(a)
+                rows.append((part, seq, len(raw), raw[:edge], raw[max(0, len(raw) - edge) :], candidates(np.frombuffer(raw, np.uint8), p)))
+                seq += 1
+            own = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            found = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(own), own, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(at, pa.int64())) for i in range(len(keys))), *found], [*keys, "_part", "_seq", "_size", "_head", "_tail", "_ends"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        before, offset, last, ordinal = b"", 0, 0, 0
+        names = [*keys, "ordinal", "start", "end"]
+
+        def made(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*types, *[pa.int64()] * 3], strict=True)], names)
+
+        for batch in batches:
+            rows = []
+            size, head, tail, ends = (batch.column(len(keys) + i) for i in (2, 3, 4, 5))
+            for name, a, b in runs(batch):
+                if name != now:
+                    if now is not None and (last < offset or not ordinal):
+                        rows.append((*now, ordinal, last, offset))
+                    now, before, offset, last, ordinal = name, b"", 0, 0, 0
+                for i in range(a, b):
+                    over = candidates(np.frombuffer(head[i].as_py(), np.uint8), p, np.frombuffer(before, np.uint8))
+                    met = np.concatenate((over, ends[i].values.to_numpy())) + offset
+                    for cut in choose(met[met % p.stride == 0], p.window, last):
+                        rows.append((*now, ordinal, last, cut))
+                        last, ordinal = cut, ordinal + 1
+                    offset += size[i].as_py()
+                    kept = before + tail[i].as_py()
+                    before = kept[max(0, len(kept) - edge) :]
+            if rows:
+                yield made(rows)
+        if now is not None and (last < offset or not ordinal):
+            yield made([(*now, ordinal, last, offset)])
+
+    rows = df.select(*keys, F.col(order).alias("_order"), F.col(data).cast("binary").alias("_data"))
+    dealt = rows.repartitionByRange(*keys, "_order").sortWithinPartitions(*keys, "_order").drop("_order")
+    found = dealt.mapInArrow(pieces, f"{schema}, _part int, _seq long, _size long, _head binary, _tail binary, _ends array<long>")
+    return found.repartition(*keys).sortWithinPartitions(*keys, "_part", "_seq").mapInArrow(joined, f"{schema}, ordinal long, start long, end long")
+
+
 def candidate_ends(df: DataFrame, keys: list[str], data: str, p: Parameters) -> DataFrame:
     """keys, end of every candidate, by SQL windows over single bytes; the kernel's plain counterpart."""
     hexed = F.hex(F.col(data).cast("binary"))

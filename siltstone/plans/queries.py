@@ -187,8 +187,8 @@ def chunk_before_cut(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH src AS (SELECT source AS id, encode(string_agg(text, '' ORDER BY doc_id)) AS blob FROM documents GROUP BY source), " + O.cuts_of("src", 8192, 14, 1) + " SELECT id AS source, ordinal, s AS start, e AS end FROM ranges")
 def chunk_default_params(spark: SparkSession, sf: str) -> DataFrame:
-    d = _docs(spark, sf).groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "").alias("blob"))
-    return chunk.chunks(d, ["source"], "blob", keep_empty=False)
+    found = chunk.long_chunks(_docs(spark, sf), ["source"], "doc_id", "text")
+    return found.withColumn("ordinal", F.col("ordinal").cast("int"))
 
 
 @query(f"WITH {SRC}, {CHUNKED}, sized AS (SELECT lang, e - s AS size FROM ranges JOIN documents ON id = doc_id) SELECT lang, count(*) AS chunks, min(size) AS least, round(avg(size), 6) AS mean, max(size) AS most, round(stddev_pop(size), 6) AS deviation FROM sized GROUP BY lang")

@@ -80,6 +80,31 @@ def test_engine_ways_agree(spark):
         assert folded.get(i, []) == want[:-1]
 
 
+@pytest.mark.parametrize("p", [Parameters(1, 16, 4, 1), Parameters(3, 5, 3, 1), Parameters(1, 1, 3, 1)])
+def test_long_streams_are_chunked_as_one_value(spark, p):
+    rng = np.random.default_rng(5)
+    rows = [(k, i, None if n % 11 == 0 else rng.integers(0, 256, n).astype(np.uint8).tobytes()) for k, m in (("hot", 120), ("b", 7), (None, 9), ("short", 1)) for i, n in enumerate(rng.integers(0, 40, m).tolist())]
+    rows += [("empty", 0, b""), ("null", 0, None), ("null", 1, None)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows)).tolist()], "k string, at int, data binary")
+    whole = {k: b"".join(d or b"" for name, _, d in rows if name == k) for k in {r[0] for r in rows}}
+    want = []
+    for k, data in whole.items():
+        ranges = chunk.split(data, p)
+        want += [(k, i, a, b) for i, (a, b) in enumerate(ranges) if b > a or len(ranges) == 1]
+    key = lambda r: (r[0] is None, r[0] or "", r[1])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    try:
+        got = [tuple(r) for r in chunk.long_chunks(df, ["k"], "at", "data", p).collect()]
+        assert chunk.long_chunks(df.where("false"), ["k"], "at", "data", p).collect() == []
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
 @given(st.binary(max_size=400), st.lists(st.integers(0, 400), max_size=6))
 def test_streamed_chunks_are_those_of_the_whole(data, cuts):
     p = Parameters(1, 8, 3, 1)
