@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.digest import NATIVE, object_digest
@@ -90,6 +90,17 @@ def history(commits: DataFrame, head: bytes | DataFrame) -> DataFrame:
     return commits.join(reachable(links, roots).withColumnRenamed("node", "digest"), "digest", "left_semi").orderBy(F.desc("seconds"), "digest")
 
 
+def numbered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """The rows with their places, from 1, in an order that no two share; ranges are numbered apart, so no task sees all."""
+    dealt = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    dealt = write_scratch(dealt, "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_before"))  # a row for each range
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_before").over(before), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn(name, within.cast("long")).join(sizes, "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
 def check_integrity(objects: DataFrame, hash_name: str = NATIVE) -> DataFrame:
     """stored, calculated for objects whose digest is not that of their content and of their children's content.
 

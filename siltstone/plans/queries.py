@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import binary, digest, render, state, text
@@ -424,7 +424,7 @@ def reachable_set(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH RECURSIVE {REACHED} SELECT row_number() OVER (ORDER BY floor(c_acctbal * 100) DESC, c_custkey) AS place, c_custkey AS digest, c_name FROM customer JOIN seen ON k = c_custkey")
 def commit_log(spark: SparkSession, sf: str) -> DataFrame:
     log = dag.history(_commits(spark, sf), _newest(spark, sf))
-    return log.withColumn("place", F.row_number().over(Window.orderBy(F.desc("seconds"), "digest")).cast("long")).select("place", "digest", "c_name")  # a history's own few rows
+    return dag.numbered(log, "place", F.desc("seconds"), F.col("digest")).select("place", "digest", "c_name")
 
 
 @query(f"WITH RECURSIVE {REACHED} SELECT k AS digest FROM seen WHERE k NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")

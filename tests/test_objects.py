@@ -108,6 +108,15 @@ def test_stored_changes_are_those_of_flat_trees(spark):
     assert sorted((r["change"], r["path"]) for r in diff.stored_changes(objects.where(F.col("digest") != F.lit(same)), a, b).collect()) == want  # never read
 
 
+def test_places_are_numbered_over_ranges(spark):
+    values = [(i * 37 % 101, i % 5) for i in range(101)]
+    df = spark.createDataFrame(values, "a int, b int")
+    got = {r["place"]: (r["a"], r["b"]) for r in dag.numbered(df, "place", F.desc("b"), F.col("a")).collect()}
+    want = sorted(values, key=lambda v: (-v[1], v[0]))
+    assert got == dict(enumerate(want, 1))
+    assert dag.numbered(df.where("false"), "place", F.col("a"), F.col("b")).collect() == []
+
+
 def test_listing_and_wanted_paths(spark):
     one = small(b"1")
     root, objects = stored(spark, {"d/k": one, "d/e/f": one, "x": one, "y/z": one})
