@@ -139,3 +139,36 @@ def test_chains_are_walked_in_few_rounds(spark, monkeypatch):
     assert got == {*range(5, n + 1), 10 * n, 10 * n + 1} and len(written) < 60
     loop = spark.createDataFrame([(i, (i + 1) % 40) for i in range(40)], "parent long, child long")
     assert dag.reachable(loop, spark.createDataFrame([(3,)], "node long")).count() == 40
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    from siltstone.sources import working_tree
+
+    want = {}
+    for i in range(600):
+        at = tmp_path / f"d{i % 7}" / f"e{i % 3}"
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"f{i}").write_bytes(b"%d" % i)
+        want[f"d{i % 7}/e{i % 3}/f{i}"] = b"%d" % i
+    (tmp_path / "_metadata").write_bytes(b"m")  # Spark's source lists this one although its name begins with _
+    (tmp_path / "d1" / "up").symlink_to(tmp_path)
+    found = working_tree.scan(spark, f"file://{tmp_path}")
+    assert found.rdd.getNumPartitions() <= 2
+    got = [("/".join(r["path"]), bytes(r["content"])) for r in found.collect()]
+    assert len(got) == 601 and dict(got) == want | {"_metadata": b"m"}
+
+
+def test_files_that_hold_their_data_stay(spark, tmp_path):
+    from siltstone.sources import working_tree
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "same").write_bytes(b"1")
+    (tmp_path / "a" / "other").write_bytes(b"2")
+    (tmp_path / "in").write_bytes(b"the way")
+    before = (tmp_path / "a" / "same").stat().st_ino
+    rows = spark.createDataFrame([(["a", "same"], b"1"), (["a", "other"], b"3"), (["in", "x", "new"], b"4")], "path array<string>, data binary")
+    assert working_tree.write_files(rows, str(tmp_path)).count() == 3
+    assert (tmp_path / "a" / "same").stat().st_ino == before
+    assert (tmp_path / "a" / "other").read_bytes() == b"3" and (tmp_path / "in" / "x" / "new").read_bytes() == b"4"
+    assert working_tree.delete_files(rows.where("path[0] = 'in'"), str(tmp_path)) == 1
+    assert not (tmp_path / "in").exists() and (tmp_path / "a").exists()
