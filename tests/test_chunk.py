@@ -117,3 +117,23 @@ def test_streamed_chunks_are_those_of_the_whole(data, cuts):
     assert [(s, e) for _, s, e, _ in out] == whole
     assert [o for o, *_ in out] == list(range(len(out)))
     assert b"".join(blob for *_, blob in out) == data
+
+
+@pytest.mark.parametrize("rule", [{"minimum": 4, "window": 4, "log2_modulus": 3}, {"minimum": 1, "window": 9, "log2_modulus": 2}, {"minimum": 3, "window": 1, "log2_modulus": 3}])
+def test_groups_of_a_stream_dealt_over_many_tasks(spark, rule):
+    signatures = np.random.default_rng(5).integers(0, 256, 700)
+    rows = [("a", i, int(v)) for i, v in enumerate(signatures)] + [("b", i, int(v)) for i, v in enumerate(signatures[:5])] + [(None, 0, 1)]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "150")  # pieces shorter than a window
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = chunk.group_rows(spark.createDataFrame(rows, "k string, i long, s int"), ["k"], "i", "s", **rule)
+        rows = found.withColumn("task", F.spark_partition_id()).collect()
+        assert len({r["task"] for r in rows if r["k"] == "a"}) > 20  # a window over the stream would be one task
+        got = {(r["k"], r["i"]): r["group"] for r in rows}
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    want = {("a", i): g for g, (x, y) in enumerate(chunk.group_items(signatures, **rule)) for i in range(x, y)}
+    want |= {("b", i): g for g, (x, y) in enumerate(chunk.group_items(signatures[:5], **rule)) for i in range(x, y)}
+    assert got == want | {(None, 0): 0}
