@@ -4,10 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions.digest import digest_of
-from siltstone.operators import index
+from siltstone.operators import batch, files, index
 from siltstone.operators.chunk import Parameters
 from siltstone.plans.repository import Repository, RepositoryError
 from siltstone.sources.store import OBJECTS, Store, StoreError
+from siltstone.sources.tables import write_scratch
 from siltstone.streaming.ingest import chunk_stream, store_chunks
 
 
@@ -172,3 +173,21 @@ def test_files_that_hold_their_data_stay(spark, tmp_path):
     assert (tmp_path / "a" / "other").read_bytes() == b"3" and (tmp_path / "in" / "x" / "new").read_bytes() == b"4"
     assert working_tree.delete_files(rows.where("path[0] = 'in'"), str(tmp_path)) == 1
     assert not (tmp_path / "in").exists() and (tmp_path / "a").exists()
+
+
+def test_tables_of_files_are_not_broadcast(spark):
+    """Paths take little room in Parquet files, so Spark takes tables of very many files for small ones."""
+    ref, inode = "struct<kind: string, digest: binary, size: bigint, depth: smallint>", "struct<timestamp_ns: bigint, generation: bigint, number: bigint, version: bigint, ctime_ns: bigint, mtime_ns: bigint>"
+    row = (["a"], ("small", b"d", 1, 0), (9, 0, 1, None, 1, 1))
+    known = write_scratch(spark.createDataFrame([row], f"path array<string>, child {ref}, inode {inode}"), "known")
+    ops = known.select(F.lit(1).cast("long").alias("seq"), "path", F.lit("add").alias("op"), "child")
+    ranges = write_scratch(spark.createDataFrame([("a", 0, 5, b"d"), ("a", 5, 9, b"e")], "key string, start long, end long, digest binary"), "ranges")
+    made = {
+        "status": (index.status(known, known).where("status = 'extant'"), 1),
+        "resolve": (index.resolve(known, known, known), 1),
+        "apply_batch": (batch.apply_batch(known.select("path", "child"), ops), 1),
+        "range_delta": (files.range_delta(ranges, ranges.where("start = 0"), ["key"]), 1),
+    }
+    for name, (rows, n) in made.items():
+        assert "Broadcast" not in rows._jdf.queryExecution().executedPlan().toString(), name
+        assert rows.count() == n, name
